@@ -7,32 +7,32 @@ changes; the last returns the packed pieces. Between stages the documents are a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, jaccard, langid, packing, pii
-from corpusloom.llm.common import Scratch, table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from corpusloom.llm.common import Scratch, free_name, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language can be told: null texts and texts without a letter."""
     model = langid.fit(langid.learnable(docs))
-    return langid.predict(docs.select(*COLUMNS), model).filter(f"lang_pred <> '{langid.NONE}'").select(*COLUMNS)
+    into = (free_name("lang_pred", docs.columns), free_name("lang_score", docs.columns))
+    return langid.predict(docs, model, into=into).filter(F.col(into[0]) != langid.NONE).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each component."""
-    return jaccard.deduplicate(docs.select(*COLUMNS))
+    return jaccard.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a window of a benchmark item."""
-    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; every document stays."""
-    return pii.redact(docs.select(*COLUMNS))
+    return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,7 +84,8 @@ def parse(segment: str) -> tuple[str, str]:
 
 def format_turns(rows: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """Segments: one row per turn, numbered within its conversation from 0."""
-    content = F.col("parts").cast(PARTS) if "parts" in rows.columns else F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), F.lit("").alias("uri"), F.lit(0).cast("long").alias("tokens"))).cast(PARTS)
+    typed = "parts" in rows.columns and rows.schema["parts"].dataType.simpleString().startswith("array<struct<")
+    content = F.col("parts").cast(PARTS) if typed else F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"), F.lit("").alias("uri"), F.lit(0).cast("long").alias("tokens"))).cast(PARTS)
     given = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), content.alias("parts"))
     ordered = given.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpusloom.llm.common import LOWER, UPPER, Scratch
+from corpusloom.llm.common import LOWER, UPPER, Scratch, free_name
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No word holds a NUL, so it may stand for the end of a document.
@@ -133,5 +133,6 @@ def digest(result: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents that hold no benchmark window, all columns as they are."""
     dirty = decontaminate(docs, benchmark, width).filter("contaminated").select("doc_id", "row").distinct()
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("text")))
-    return marked.join(dirty, (marked["_row"] == dirty["row"]) & marked["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti").drop("_row")
+    key = free_name("key", docs.columns)
+    marked = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
+    return marked.join(dirty, (marked[key] == dirty["row"]) & marked["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti").select(*docs.columns)

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corpusloom.llm.common import free_name
+
 BUCKETS, ORDERS, PIECE = 1 << 15, 4, 1 << 20
 NONE = "und"
 _LETTER = np.zeros(0, dtype=bool)
@@ -118,13 +120,13 @@ def fit(docs: DataFrame, per_lang: int = 200, landmarks: int = 24, ridge: float
     return Model(np.ascontiguousarray(held.T), np.sqrt(size[picked]), (root @ solved).astype(np.float32), langs)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, batch_rows: int = 64) -> DataFrame:
-    """``keep`` (or all) of the columns of ``docs``, and lang_pred and score (0 to 1)."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score"), batch_rows: int = 64) -> DataFrame:
+    """``keep`` (or all) of the columns of ``docs``, and lang_pred and score (0 to 1), which replace columns of these names."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    kept = docs.columns if keep is None else keep
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    given = docs.select(*kept, F.col("text").cast("string").alias("_read"))
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in into]
+    schema = docs.select(*kept).schema.add(into[0], "string").add(into[1], "double")
+    given = docs.select(*kept, F.col("text").cast("string").alias(free_name("read", kept)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -147,7 +149,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
                     score[rows] = np.clip((got[np.arange(n), best] + 1) / 2, 0, 1)
                     for i, b in zip(rows, best.tolist(), strict=True):
                         lang[i] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*kept, *into])
 
     return given.mapInArrow(run, schema)
 

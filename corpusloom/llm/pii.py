@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import free_name
+
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 BASE = KINDS[:4]
 LOCAL = r"A-Za-z0-9._%+-"
@@ -101,17 +103,18 @@ def _spans(text: Column, kind: str) -> Column:
     return F.when(MAY[kind](text), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
-def find(docs: DataFrame, threshold: float = 0.5, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """All columns of ``docs`` and ``found``: the spans by start, then kind."""
+def find(docs: DataFrame, threshold: float = 0.5, kinds: tuple[str, ...] = KINDS, into: str = "found") -> DataFrame:
+    """All columns of ``docs`` and ``found`` (or another name): the spans by start, then kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     every = F.concat(*(_spans(text, k) for k in kinds))
     kept = F.filter(every, lambda s: (s["rank"] < len(BASE)) | (s["score"] >= threshold))
-    return docs.withColumn("found", F.array_sort(kept))
+    return docs.withColumn(into, F.array_sort(kept))
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents with every span replaced by its kind in brackets, overlapping spans by that of the first; ``n_chars`` follows."""
     columns, text = docs.columns, F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = free_name("found", columns)
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -121,10 +124,10 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    new = F.when(F.size("found") == 0, F.col("text")).otherwise(F.aggregate("found", start, step, rest))
-    out = find(docs, threshold).withColumn("text", new)
+    new = F.when(F.size(found) == 0, F.col("text")).otherwise(F.aggregate(found, start, step, rest))
+    out = find(docs, threshold, into=found).withColumn("text", new)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.size(found) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*columns)
 
 
