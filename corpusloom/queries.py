@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_PLANS = ("text", "sampling", "sequences", "models", "documents", "observatory", "joins", "io", "stream")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function (spark, sf_dir) -> DataFrame under its name; ``sql`` is what DuckDB runs to check it."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for name in _PLANS:
+        import_module(f"corpusloom.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
