@@ -7,8 +7,8 @@ the T-1 longest inverted lists may be set aside and y must turn up in the rest,
 1. Every task counts shingles in a sketch of fixed size; the sum, in logarithms, orders all shingles by rarity
    (any fixed order is exact, rarity makes lists short). The short lists of a set are those of its
    ``n - T + 1`` rarest shingles. Only these postings are exchanged, by hash range, 48 bits each.
-2. A range merges its postings into lists. Lists propose pairs; a filter by size and one by bitmaps (exact
-   upper bounds of the overlap) drop most. For what is left, ``DivideSkip`` merges the short lists of a local
+2. A range merges its postings into lists. Lists propose pairs; filters by size, by place in the order of
+   rarity and by bitmaps (exact upper bounds of the overlap) drop most. For what is left, ``DivideSkip`` merges the short lists of a local
    index, probes the long ones by binary search, and decides by the exact overlap.
 3. Pairs are proposed in rounds, so that a group of copies is never expanded into all pairs: first each list's
    smallest document with the others; then, in long lists whose documents are not yet in one component, a few
@@ -117,7 +117,7 @@ def rarity(signed: DataFrame, tasks: int) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(1.0 + out)).astype(np.uint8).reshape(-1)
 
 
-POSTED = "part int, doc_id binary, n binary, held binary, keys binary"
+POSTED = "part int, doc_id binary, n binary, held binary, place binary, keys binary"
 
 
 def _post(parts: int, order) -> object:
@@ -139,42 +139,44 @@ def _post(parts: int, order) -> object:
             key, doc = key[by], doc[by]
             first = np.concatenate(([0], np.cumsum(np.where(wanted, size, 0))))[:-1]
             short = size - -(-size * PERCENT // 100) + 1
-            keep = np.arange(len(key)) - first[doc] < short[doc]
-            key, doc = key[keep], doc[keep]
+            place = np.arange(len(key)) - first[doc]
+            keep = place < short[doc]
+            key, doc, place = key[keep], doc[keep], place[keep]
             part = ((key & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             by = np.lexsort((doc, part))
-            key, doc, part = key[by] >> np.uint64(8), doc[by], part[by]
+            key, doc, part, place = key[by] >> np.uint64(8), doc[by], part[by], place[by].astype("<i4")
             edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, dtype=np.int64)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 held, n = np.unique(doc[a:b], return_counts=True)
                 raw = np.ascontiguousarray(key[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                out.append((int(part[a]), block.doc_ids[held].tobytes(), size[held].astype("<i8").tobytes(), n.astype("<i4").tobytes(), raw))
-        return pa.table([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3, 4))], ["part", "doc_id", "n", "held", "keys"])
+                out.append((int(part[a]), block.doc_ids[held].tobytes(), size[held].astype("<i8").tobytes(), n.astype("<i4").tobytes(), place[a:b].tobytes(), raw))
+        return pa.table([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3, 4, 5))], ["part", "doc_id", "n", "held", "place", "keys"])
 
     return run
 
 
-LISTED = "part int, list long, doc_id long, n long"
+LISTED = "part int, list long, doc_id long, n long, place int"
 
 
 def _merge_lists(group: pa.Table) -> pa.Table:
-    """Inverted lists with documents of comparable size: (list, document, size of its set)."""
-    doc, n, key = [], [], []
-    for d, s, h, k in zip(*(group.column(c).to_pylist() for c in ("doc_id", "n", "held", "keys")), strict=True):
+    """Inverted lists with documents of comparable size: (list, document, size of its set, place in its order of rarity)."""
+    doc, n, place, key = [], [], [], []
+    for d, s, h, p, k in zip(*(group.column(c).to_pylist() for c in ("doc_id", "n", "held", "place", "keys")), strict=True):
         held = np.frombuffer(h, dtype="<i4")
         doc.append(np.repeat(np.frombuffer(d, dtype=np.int64), held))
         n.append(np.repeat(np.frombuffer(s, dtype=np.int64), held))
+        place.append(np.frombuffer(p, dtype="<i4"))
         raw = np.zeros((len(k) // 6, 8), dtype=np.uint8)
         raw[:, :6] = np.frombuffer(k, dtype=np.uint8).reshape(-1, 6)
         key.append(raw.reshape(-1).view("<u8"))
-    doc, n, key = np.concatenate(doc), np.concatenate(n), np.concatenate(key)
+    doc, n, place, key = np.concatenate(doc), np.concatenate(n), np.concatenate(place), np.concatenate(key)
     by = np.lexsort((n, key))
-    doc, n, key = doc[by], n[by], key[by]
+    doc, n, place, key = doc[by], n[by], place[by], key[by]
     # in order of size, a document without a neighbour near enough in size has no partner in the list
     near = (key[1:] == key[:-1]) & (n[1:] * PERCENT <= n[:-1] * 100)
     kept = np.concatenate(([False], near)) | np.concatenate((near, [False]))
     part = group.column("part")[0].as_py()
-    return pa.table([pa.array(np.full(int(kept.sum()), part), pa.int32()), pa.array(key[kept].view(np.int64)), pa.array(doc[kept]), pa.array(n[kept])], ["part", "list", "doc_id", "n"])
+    return pa.table([pa.array(np.full(int(kept.sum()), part), pa.int32()), pa.array(key[kept].view(np.int64)), pa.array(doc[kept]), pa.array(n[kept]), pa.array(place[kept])], ["part", "list", "doc_id", "n", "place"])
 
 
 def _groups(key: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -186,14 +188,18 @@ def _propose(stage: str):
     """Pairs (a, b) of documents, a < b, that the lists of a range put forward in this round."""
 
     def run(group: pa.Table) -> pa.Table:
-        key, doc, n, comp = (group.column(c).to_numpy() for c in ("list", "doc_id", "n", "comp"))
+        key, doc, n, comp, place = (group.column(c).to_numpy() for c in ("list", "doc_id", "n", "comp", "place"))
         by = np.lexsort((doc, key))
         key, doc, n, comp = key[by], doc[by], n[by], comp[by]
+        left_over = n - place[by]  # this shingle and those that follow it in the order
         left, right = [], []
 
         def pair(a: np.ndarray, b: np.ndarray, at: int) -> None:
             a, b = a + at, b + at
-            fit = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * PERCENT)
+            # in the first list that two sets share, what follows there is all they can share; a pair that fails
+            # elsewhere is put forward there, if anywhere
+            fit = (comp[a] != comp[b]) & (np.minimum(left_over[a], left_over[b]) * (100 + PERCENT) >= (n[a] + n[b]) * PERCENT)
+            fit &= np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * PERCENT
             left.append(doc[a[fit]])
             right.append(doc[b[fit]])
 
