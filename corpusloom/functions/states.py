@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusloom.functions import lexicon as X
 from corpusloom.functions.dialect import Dialect
 
+SHAPES = ("PUNCT", "NUM", "ALLCAPS", "CAP", "FUNC", "SHORT", "LONG", "WORD")
 VIEWS = ("shape", "coarse", "posish", "true_pos", "motif", "semantic")
 
 

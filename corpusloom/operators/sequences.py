@@ -47,16 +47,12 @@ def skip_bigrams(seq: str, gap: int = 1, sep: str = "|") -> Column:
     return F.expr(f"transform({SPARK.upto(f'size({seq}) - {gap + 1}')}, i -> concat({seq}[i - 1], '{sep}', {seq}[i + {gap}]))")
 
 
-def runs(df: DataFrame, seq: str) -> DataFrame:
-    """Adds ``runs``: runs of equal neighbours as structs (state, length), in order."""
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(seq, 1, F.greatest(F.lit(0), F.size(seq) - 1)))
-    new = F.zip_with(seq, before, lambda a, b: ~a.eqNullSafe(b))
-    # a lambda must not look into a derived array: the optimiser may put the derivation inside it
-    places = F.zip_with(F.expr(SPARK.upto(f"size({seq})")), new, lambda i, f: F.when(f, i))
-    marked = df.withColumn("_starts", F.filter(places, lambda i: i.isNotNull()))
-    ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size(seq) + 1))
-    found = F.zip_with("_starts", ends, lambda a, b: F.struct(F.element_at(seq, a).alias("state"), (b - a).alias("length")))
-    return marked.withColumn("runs", F.when(F.size(seq) > 0, found)).drop("_starts")
+def runs(seq: str, alphabet: tuple[str, ...]) -> Column:
+    """Runs of equal neighbours as structs (state, length), in order. States become letters, so that one pattern finds all runs."""
+    names = F.array(*map(F.lit, alphabet))
+    letters = F.array_join(F.transform(seq, lambda s: F.char(F.array_position(names, s) + 64)), "")
+    found = F.regexp_extract_all(letters, F.lit(r"(.)\1*"), F.lit(0))
+    return F.transform(found, lambda r: F.struct(F.element_at(names, F.ascii(r) - 64).alias("state"), F.length(r).alias("length")))
 
 
 def transitions(df: DataFrame, views: tuple[str, ...], orders: tuple[int, ...] = (1,), keep: tuple[str, ...] = ()) -> DataFrame:

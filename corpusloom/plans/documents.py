@@ -128,7 +128,7 @@ _MIXED = f"""(SELECT doc_id, chunk_index, words, round(0.25 + (words * 7 + chunk
 
 @query(f"""
 WITH c AS (SELECT *, p >= 0.5 AS ai, lag(p >= 0.5) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS before FROM {_MIXED}),
-s AS (SELECT doc_id, count(*)::BIGINT AS chunks, count(*) FILTER (ai)::BIGINT AS ai_chunks, round(sum(CASE WHEN ai THEN words ELSE 0 END) / sum(words), 6) AS ai_share, round(sum(p * words) / sum(words), 6) AS weighted,
+s AS (SELECT doc_id, count(*)::BIGINT AS chunks, count(*) FILTER (ai)::BIGINT AS ai_chunks, round(sum(CASE WHEN ai THEN words ELSE 0 END) / sum(words), 6) AS ai_share, round(sum(p * words) / sum(words) + 1e-9, 5) AS weighted,
   round(max(p) * 100)::INT - round(min(p) * 100)::INT AS contrast, count(*) FILTER (ai <> before)::BIGINT AS transitions FROM c GROUP BY 1)
 SELECT *, CASE WHEN ai_chunks > 0 AND ai_chunks < chunks AND contrast >= 25 AND ai_share BETWEEN 0.15 AND 0.85 THEN 'mixed' WHEN ai_share >= 0.75 THEN 'mostly_ai' WHEN ai_share <= 0.25 THEN 'mostly_human' ELSE 'uncertain' END AS verdict FROM s""")
 def mixed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def mixed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("before", F.lag("ai").over(W.partitionBy("doc_id").orderBy("chunk_index")))
     s = c.groupBy("doc_id").agg(
         F.count("*").alias("chunks"), F.count_if("ai").alias("ai_chunks"), F.round(F.sum(F.when(F.col("ai"), F.col("words")).otherwise(0)) / F.sum("words"), 6).alias("ai_share"),
-        F.round(F.sum(F.col("p") * F.col("words")) / F.sum("words"), 6).alias("weighted"), (F.round(F.max("p") * 100).cast("int") - F.round(F.min("p") * 100).cast("int")).alias("contrast"),
+        F.round(F.sum(F.col("p") * F.col("words")) / F.sum("words") + 1e-9, 5).alias("weighted"), (F.round(F.max("p") * 100).cast("int") - F.round(F.min("p") * 100).cast("int")).alias("contrast"),
         F.count_if(F.col("ai") != F.col("before")).alias("transitions"),
     )
     both = (F.col("ai_chunks") > 0) & (F.col("ai_chunks") < F.col("chunks")) & (F.col("contrast") >= 25) & F.col("ai_share").between(0.15, 0.85)
@@ -169,7 +169,8 @@ def _phrase(q: Dialect, family: str) -> str:
     return q.like(low, "|".join(alternatives))
 
 
-def _forms(q: Dialect) -> str:
+def _forms(q: Dialect) -> tuple[dict[str, str], dict[str, str]]:
+    """Flags by family of phrases, and what is derived from them."""
     has = {k: _phrase(q, k) for k in X.PHRASES}
     has["measurable"] = f"({has['measurable']} OR {has['metric']})"
     pick = lambda rules: "concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules) + ")"
@@ -178,18 +179,25 @@ def _forms(q: Dialect) -> str:
     propositions = pick([("Organization needs ScalableSolution", "org_need"), ("TechnologySystem enables AbstractBusinessOutcome", "ai_solution AND abstract_benefit"), ("AbstractBusinessOutcome benefits GenericAudience", "ai_solution AND abstract_benefit")])
     ground = [("metric", "metric"), ("baseline", "baseline"), ("timeframe", "timeframe"), ("specific_workflow", "workflow"), ("specific_audience", "specific_audience"), ("evidence_source", "evidence_source")]
     missing = pick([(n, f"NOT {c}") for n, c in ground] + [("audience_boundary", "NOT specific_audience")])
-    inner = "SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in has.items()) + " FROM {0}"
-    return f"SELECT doc_id, {concepts} AS concepts, {logic} AS logic, {propositions} AS propositions, {missing} AS missing, {pick(ground)} AS grounded FROM ({inner})"
+    return has, {"concepts": concepts, "logic": logic, "propositions": propositions, "missing": missing, "grounded": pick(ground)}
 
 
-@query(_forms(DUCK).replace("{0}", "documents"))
+def _forms_sql() -> str:
+    has, derived = _forms(DUCK)
+    listed = lambda d: ", ".join(f"{v} AS {k}" for k, v in d.items())
+    return f"SELECT doc_id, {listed(derived)} FROM (SELECT doc_id, {listed(has)} FROM documents)"
+
+
+@query(_forms_sql())
 def phrase_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts, logic, propositions, missing bindings and groundings by families of phrases."""
-    return spark.sql(_forms(SPARK).replace("{0}", "{rows}"), rows=docs(spark, sf_dir))
+    has, derived = _forms(SPARK)
+    flags = docs(spark, sf_dir).select("doc_id", *(F.expr(v).alias(k) for k, v in has.items()))
+    return flags.select("doc_id", *(F.expr(v).alias(k) for k, v in derived.items()))
 
 
 @query(f"""
-WITH f AS ({_forms(DUCK).replace('{0}', 'documents')})
+WITH f AS ({_forms_sql()})
 SELECT doc_id, len(missing_) ::BIGINT AS n_missing, list_contains(logic_, 'MeasurableClaim') AS measurable,
   len(list_filter(range(1, len(concepts_)), lambda i: concepts_[i:i + 1] = ['GenericAudience', 'SpecificWorkflow'])) > 0 AS motif_found,
   CASE WHEN len(logic_) >= 4 THEN 'dense' WHEN len(logic_) >= 1 THEN 'some' ELSE 'none' END AS density

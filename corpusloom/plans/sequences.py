@@ -113,7 +113,7 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f),
 r AS (SELECT doc_id, run, any_value(state) AS state, count(*) AS length FROM g GROUP BY ALL)
 SELECT state, length::BIGINT AS length, count(*)::BIGINT AS n FROM r GROUP BY ALL""")
 def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Q.runs(Q.with_states(docs(spark, sf_dir), ("shape",)), "shape").select(F.explode("runs").alias("r"))
+    rows = Q.with_states(docs(spark, sf_dir), ("shape",)).select(F.explode(Q.runs("shape", ST.SHAPES)).alias("r"))
     return rows.groupBy("r.state", F.col("r.length").cast("long").alias("length")).agg(F.count("*").alias("n"))
 
 

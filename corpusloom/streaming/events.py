@@ -11,7 +11,8 @@ from corpusloom.session import shared_folder
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder as a stream of its files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    got = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return got.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"})  # a watermark needs an instant
 
 
 def run(df: DataFrame, name: str) -> DataFrame:
