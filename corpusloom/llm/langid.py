@@ -82,12 +82,16 @@ class Model:
 def fit(docs: DataFrame, per_lang: int = 200, landmarks: int = 24, ridge: float = 0.1, sample: int = 8000) -> Model | None:
     """``docs`` holds the rows that may be learned from: doc_id, text, lang."""
     rows = docs.filter("doc_id is not null and lang is not null")
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    langs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not langs:
         return None
     per_lang = max(4, min(per_lang, sample // len(langs)))
-    order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("place", order).filter(F.col("place") <= per_lang)
+    # only hashes low enough to be among the smallest, eight times over, go to a language's sort
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, 8 * per_lang / n)) for k, n in langs.items()], "lang string, share double")
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    few = rows.select("doc_id", "lang").join(F.broadcast(share), "lang").filter(low < F.col("share") * (1 << 30)).select("doc_id", "lang").distinct()
+    order = F.row_number().over(W.partitionBy("lang").orderBy(low, "doc_id"))
+    chosen = few.withColumn("place", order).filter(F.col("place") <= per_lang)
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "place", "text")
 
     def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
