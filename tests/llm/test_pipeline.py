@@ -28,15 +28,12 @@ def test_against_brute_force(spark, tmp_path) -> None:
     kept = [r for r in kept if r[0] not in dirty]
     texts = {r[0]: r[1] for r in kept}
     texts[18] = "mail [EMAIL] or call [PHONE], host [IP], card [CARD] iban [IBAN]"
-    texts[19] = "[EMAIL][EMAIL] [IP].[IP] 256.1.1.1 4539148803436468 +12 3 GB82WEST12345698765433 ssn [NATIONAL_ID] and 123-45-6789"
+    assert 19 in dirty  # it holds the item "12"
     want = []
     for doc, text in texts.items():
-        if doc == 19:
-            continue
         full = ids(text) + [packing.END_ID]
         want += [(doc, s, crc(full[s : s + 2048])) for s in range(0, len(full), 2048)]
-    assert sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in got if r["doc_id"] != 19) == sorted(want)
-    assert 19 in {r["doc_id"] for r in got}
+    assert sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in got) == sorted(want)
 
 
 def test_stages_keep_the_columns(spark, tmp_path) -> None:
