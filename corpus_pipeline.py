@@ -14,8 +14,13 @@ from corpusloom.llm.common import Scratch, free_name, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be told: null texts and texts without a letter."""
+    """Rejects null texts and texts without a letter, and these only: no language or score that is predicted removes a row.
+
+    Without a model (nothing labelled to learn from) the rule is the same.
+    """
     model = langid.fit(langid.learnable(docs))
+    if model is None:
+        return langid.lettered(docs)
     into = (free_name("lang_pred", docs.columns), free_name("lang_score", docs.columns))
     return langid.predict(docs, model, into=into).filter(F.col(into[0]) != langid.NONE).select(*docs.columns)
 

@@ -158,6 +158,20 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
     return given.mapInArrow(run, schema)
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows whose text holds a letter, all columns as they are: those that ``predict`` gives a language when it has a model."""
+    kept = docs.columns
+    given = docs.select(*kept, F.col("text").cast("string").alias(free_name("read", kept)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, texts = batch.columns
+            some = [any(c.isalpha() for c in t or "") for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays(columns, kept).filter(pa.array(some, pa.bool_()))
+
+    return given.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from learning: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -43,3 +43,15 @@ def test_stages_keep_the_columns(spark, tmp_path) -> None:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "pii", "packing"] and langid.NONE == "und"
+
+
+def test_language_without_a_model_keeps_what_has_letters(spark, tmp_path) -> None:
+    """No label at all, and labels whose ids are all held out of learning."""
+    want = sorted(r[0] for r in given() if r[1] and any(c.isalpha() for c in r[1]))
+    unlabelled = spark.createDataFrame([(d, t, None, s, n) for d, t, _, s, n in given()], SCHEMA)
+    got = corpus_pipeline.language(spark, unlabelled, str(tmp_path))
+    assert got.columns == unlabelled.columns and sorted(r["doc_id"] for r in got.collect()) == want
+    labelled = spark.createDataFrame(given(), SCHEMA)
+    held = labelled.filter(langid.held_out())
+    assert langid.fit(langid.learnable(held)) is None
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, held, str(tmp_path)).collect()) == [d for d in want if d in {r["doc_id"] for r in held.collect()}] != []
