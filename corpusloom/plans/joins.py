@@ -17,8 +17,8 @@ from corpusloom.sources.tables import table
 @query("""
 SELECT l.doc_id, quality::INT AS quality, coalesce(trim(text), '') = '' AS missing, length(coalesce(text, ''))::BIGINT AS chars FROM labels l LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = l.doc_id""")
 def text_lookup_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts looked up for rows; a miss and a blank text both count as missing. Here a third of the texts is withheld."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select("doc_id", "text")
+    """Texts of the whole documents table looked up for rows; a miss and a blank text both count as missing."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     j = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")).join(d, "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     return j.select("doc_id", "quality", (F.trim(text) == "").alias("missing"), F.length(text).cast("long").alias("chars"))
