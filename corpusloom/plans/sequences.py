@@ -130,7 +130,7 @@ g AS (SELECT doc_id, 2 AS ord, unnest(list_transform({zipped('s', 2)}, lambda z:
 c AS (SELECT doc_id, ord, gram, count(*)::BIGINT AS n, min(pos) AS first FROM g GROUP BY 1, 2, 3)
 SELECT doc_id, ord, gram, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY n DESC, first) AS place FROM c) WHERE place <= 12""")
 def topk_seq_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.top_ngrams(Q.with_states(docs(spark, sf_dir), ("posish",)), "posish", limit=12)
+    return Q.top_ngrams(Q.with_states(docs(spark, sf_dir), ("posish",)), "posish")
 
 
 _CONV = """(SELECT conv_id, list(role ORDER BY turn) AS roles,

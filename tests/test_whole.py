@@ -31,3 +31,7 @@ def against(spark, duck, name: str, old: str, new: str) -> None:
 
 def test_lookup_against_sql_over_all_documents(spark, duck) -> None:
     against(spark, duck, "text_lookup_left_join", " WHERE doc_id % 3 <> 0", "")
+
+
+def test_48_ngrams_of_each_order(spark, duck) -> None:
+    against(spark, duck, "topk_seq_ngrams", "place <= 12", "place <= 48")
