@@ -237,9 +237,9 @@ d AS (SELECT r_name, rep, ('0x' || substr(md5('v1:' || rep || ':' || r_name || '
 m AS (SELECT d.r_name, rep, avg(value) AS stat FROM d JOIN e ON e.r_name = d.r_name AND e.i = d.i GROUP BY ALL)
 SELECT r_name, round(quantile_cont(stat, 0.05), 6) AS low, round(quantile_cont(stat, 0.5), 6) AS mid, round(quantile_cont(stat, 0.95), 6) AS high FROM m GROUP BY 1""")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """50 replicates: customers resampled within their region by hash, and the percentiles of the mean."""
+    """2,000 replicates: customers resampled within their region by hash, and the percentiles of the mean."""
     e = _orders(spark, sf_dir).groupBy("r_name", "entity").agg(F.avg("level").alias("value"))
-    m = ST.draws(e, 50, ["r_name"], "v1").groupBy("r_name", "rep").agg(F.avg("value").alias("stat"))
+    m = ST.draws(e, 2000, ["r_name"], "v1").groupBy("r_name", "rep").agg(F.avg("value").alias("stat"))
     return m.groupBy("r_name").agg(*(F.round(F.percentile("stat", q), 6).alias(n) for q, n in ((0.05, "low"), (0.5, "mid"), (0.95, "high"))))
 
 

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from hashlib import md5
+from statistics import mean
+
+import numpy as np
+import pytest
+
 from corpusloom import queries as registry
 from tests.test_queries import SF, duck, plain  # noqa: F401
 
@@ -35,3 +42,23 @@ def test_lookup_against_sql_over_all_documents(spark, duck) -> None:
 
 def test_48_ngrams_of_each_order(spark, duck) -> None:
     against(spark, duck, "topk_seq_ngrams", "place <= 12", "place <= 48")
+
+
+def test_bootstrap_of_2000_replicates(spark, tmp_path) -> None:
+    """Both regions resampled by the same hashes in plain Python."""
+    customers = [(c, c % 3, "SEG") for c in range(1, 31)]
+    orders = [(o, o * 7 % 30 + 1, datetime(1995, 1 + o % 12, 1), f"{o * o % 5 + 1}-X") for o in range(150)]
+    got = run(
+        spark, "cluster_bootstrap", tmp_path, region=([(0, "A"), (1, "B")], "r_regionkey int, r_name string"), nation=([(0, 0), (1, 1), (2, 1)], "n_nationkey int, n_regionkey int"),
+        customer=(customers, "c_custkey long, c_nationkey int, c_mktsegment string"), orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+    )
+    want = {}
+    for name, nations in (("A", {0}), ("B", {1, 2})):
+        values = [mean(int(p[0]) for _, k, _, p in orders if k == c) for c, n, _ in customers if n in nations and any(k == c for _, k, _, _ in orders)]
+        stats = [mean(values[int(md5(f"v1:{rep}:{name}:{i}".encode()).hexdigest()[:8], 16) % len(values)] for i in range(len(values))) for rep in range(1, 2001)]
+        want[name] = [float(np.percentile(stats, q)) for q in (5, 50, 95)]
+    assert {r["r_name"]: [r["low"], r["mid"], r["high"]] for r in got} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+
+
+def test_bootstrap_against_sql_of_2000_replicates(spark, duck) -> None:
+    against(spark, duck, "cluster_bootstrap", "range(1, 51)", "range(1, 2001)")
