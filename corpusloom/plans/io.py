@@ -37,8 +37,8 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, CASE WHEN regexp_matches(c_name, '^[=+@-]') THEN '''' || c_name ELSE c_name END AS c_name, CASE WHEN c_acctbal < 0 THEN '''' || c_acctbal::VARCHAR ELSE c_acctbal::VARCHAR END <> '' AS has_balance FROM customer ORDER BY c_custkey LIMIT 500")
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "export")
-    rows = IO.table(spark, sf_dir, "customer").orderBy("c_custkey").limit(500).select("c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("balance"))
-    IO.write_csv_export(rows, path, 500)
+    rows = IO.table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("balance"))
+    IO.write_csv_export(rows, path)
     return IO.read_csv(spark, path, "c_custkey BIGINT, c_name STRING, balance STRING").select("c_custkey", "c_name", (F.col("balance") != "").alias("has_balance"))
 
 

@@ -44,6 +44,14 @@ def test_48_ngrams_of_each_order(spark, duck) -> None:
     against(spark, duck, "topk_seq_ngrams", "place <= 12", "place <= 48")
 
 
+def test_export_up_to_its_own_bound(spark, tmp_path) -> None:
+    for n in (1200, 5100):
+        customers = [(i, f"={i}" if i % 7 == 0 else f"n{i}", float(i - 600)) for i in range(n, 0, -1)]
+        got = run(spark, "csv_export", tmp_path / str(n), customer=(customers, "c_custkey long, c_name string, c_acctbal double"))
+        assert {r["c_custkey"]: r["c_name"] for r in got} == {i: f"'={i}" if i % 7 == 0 else f"n{i}" for i in range(1, min(n, 5000) + 1)}
+        assert len(got) == min(n, 5000) and all(r["has_balance"] for r in got)
+
+
 def test_bootstrap_of_2000_replicates(spark, tmp_path) -> None:
     """Both regions resampled by the same hashes in plain Python."""
     customers = [(c, c % 3, "SEG") for c in range(1, 31)]
