@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
 from hashlib import md5
 from statistics import mean
@@ -10,6 +11,8 @@ import numpy as np
 import pytest
 
 from corpusloom import queries as registry
+from tests.llm.data import documents, prose, shingles
+from tests.llm.test_jaccard import brute
 from tests.test_queries import SF, duck, plain  # noqa: F401
 
 
@@ -70,3 +73,27 @@ def test_bootstrap_of_2000_replicates(spark, tmp_path) -> None:
 
 def test_bootstrap_against_sql_of_2000_replicates(spark, duck) -> None:
     against(spark, duck, "cluster_bootstrap", "range(1, 51)", "range(1, 2001)")
+
+
+def test_near_duplicates_of_whole_texts(spark, tmp_path) -> None:
+    """Copies that differ at their start, short texts, a common opening that links nothing, chains; against all pairs in Python."""
+    rows = [r[:2] for r in documents()] + [(100 + i, f"licence line that all of these documents share at the start {prose(200 + i, 40)}") for i in range(30)]
+    rows += [(200, "early words here differ " + prose(300, 90)), (201, "other " + prose(300, 90)), (202, "hi all"), (203, "Hi  all"), (204, "hi you")]
+    r, base = random.Random(5), prose(301, 90).split(" ")
+    for k in range(40):
+        w = list(base)
+        for _ in range(k // 6):
+            w[r.randrange(len(w))] = f"n{k}"
+        rows.append((300 + k, " ".join(w)))
+    links = run(spark, "near_dups_jaccard", tmp_path, documents=(rows, "doc_id long, text string"))
+    sets = [(d, shingles(t)) for d, t in rows if d is not None]
+    alike = {}
+    for i, (d, x) in enumerate(sets):
+        for e, y in sets[:i]:
+            if d != e and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                alike[min(d, e), max(d, e)] = max(alike.get((min(d, e), max(d, e)), 0), round(len(x & y) / len(x | y), 6))
+    first = {d: min(e for e, y in sets if y == x) for d, x in sets}
+    assert {(r["a"], r["b"]): r["jaccard"] for r in links} == {p: j for p, j in alike.items() if p[0] == first[p[1]] or {first[p[0]], first[p[1]]} == set(p)}
+    groups = {r["id"]: r["component"] for r in registry.queries()["connected_groups"](spark, str(tmp_path)).collect()}
+    linked = {d for p in alike for d in p}
+    assert groups == {d: c for d, c in brute(rows).items() if d in linked} and groups[201] == 200 and groups[203] == 202 and 100 not in groups
