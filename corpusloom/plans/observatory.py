@@ -136,10 +136,15 @@ WITH m AS (SELECT month, count(*)::BIGINT AS n, count(DISTINCT entity)::BIGINT A
 SELECT month, n, entities, families, concat_ws(',', CASE WHEN n < 180 THEN 'LOW_SAMPLE_SIZE' END, CASE WHEN entities < 150 THEN 'LOW_ENTITY_COUNT' END, CASE WHEN families < 2 THEN 'LOW_SOURCE_COUNT' END) AS reasons,
   CASE WHEN n >= 180 AND entities >= 150 AND families >= 2 THEN round(score, 4) END AS score FROM m""")
 def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A suppressed month has no score; the gates that failed are listed."""
-    m = _orders(spark, sf_dir).groupBy("month").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("entities"), F.count_distinct("r_name").alias("families"), (F.avg(F.col("level") / 5) * 100).alias("s"))
-    reasons = ST.suppression({"LOW_SAMPLE_SIZE": F.col("n") < 180, "LOW_ENTITY_COUNT": F.col("entities") < 150, "LOW_SOURCE_COUNT": F.col("families") < 2})
-    return m.withColumn("reasons", reasons).select("month", "n", "entities", "families", "reasons", F.when(F.col("reasons") == "", F.round("s", 4)).alias("score"))
+    """A suppressed month has no score; the gates that failed are listed. Groups are segments, families regions; weight is matched in cells with documents and entities enough."""
+    o = _orders(spark, sf_dir)
+    m = o.groupBy("month").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("entities"), F.count_distinct("c_mktsegment").alias("groups"), F.count_distinct("r_name").alias("families"), (F.avg(F.col("level") / 5) * 100).alias("s"))
+    every = table(spark, sf_dir, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.count("*").alias("every"))
+    cells = o.groupBy("month", *_CELL).agg(F.count("*").alias("docs"), F.count_distinct("entity").alias("some")).filter("docs >= 20 and some >= 10")
+    matched = cells.join(F.broadcast(_weights(spark, sf_dir)), _CELL).groupBy("month").agg(F.round(F.sum("pi"), 9).alias("matched"))
+    g = every.join(m, "month", "left").fillna(0, ["n", "entities", "groups", "families"]).join(matched, "month", "left")
+    reasons = ST.suppression(ST.gates(F.col("n"), F.col("entities"), F.col("groups"), F.col("families"), F.col("n") / F.col("every"), F.coalesce("matched", F.lit(0.0))))
+    return g.withColumn("reasons", reasons).select("month", "n", "entities", "families", "reasons", F.when(F.col("reasons") == "", F.round("s", 4)).alias("score"))
 
 
 _MONTHS = f"(SELECT month, avg(level / 5.0::DOUBLE) * 100 AS d FROM {_ORD} GROUP BY 1)"

@@ -97,3 +97,30 @@ def test_near_duplicates_of_whole_texts(spark, tmp_path) -> None:
     groups = {r["id"]: r["component"] for r in registry.queries()["connected_groups"](spark, str(tmp_path)).collect()}
     linked = {d for p in alike for d in p}
     assert groups == {d: c for d, c in brute(rows).items() if d in linked} and groups[201] == 200 and groups[203] == 202 and 100 not in groups
+
+
+def test_suppression_by_every_gate(spark, tmp_path) -> None:
+    """A month that is released, and months that one change after another suppresses; each has its own reasons."""
+    customers = [(c, c % 2, f"S{c // 2 % 5}") for c in range(200)]  # ten cells of 20 customers, equal weights
+    orders = []
+
+    def month(k: int, n: int, who) -> None:
+        orders.extend((len(orders), who(i), datetime(1995, k, 1 + i % 28), "4-X") for i in range(n))
+
+    month(1, 500, lambda i: i % 200)
+    month(2, 499, lambda i: i % 200)
+    month(3, 600, lambda i: i % 40)  # 40 customers, four in each cell: no cell counts
+    month(4, 600, lambda i: [c for c in range(200) if c // 2 % 5 < 4][i % 160])  # four groups hold .80 of the weight
+    month(5, 600, lambda i: i * 2 % 200)  # one family, half of the weight
+    month(6, 750, lambda i: i % 200 if i < 590 else 900 + i)  # 590 of 750 resolved
+    month(7, 730, lambda i: i % 200 if i < 590 else 900 + i)  # 590 of 730 resolved
+    month(8, 3, lambda i: 900 + i)  # none resolved
+    got = run(
+        spark, "suppression", tmp_path, region=([(0, "A"), (1, "B")], "r_regionkey int, r_name string"), nation=([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int"),
+        customer=(customers, "c_custkey long, c_nationkey int, c_mktsegment string"), orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+    )
+    assert {r["month"].month: r["reasons"] for r in got} == {
+        1: "", 2: "LOW_SAMPLE_SIZE", 3: "LOW_ENTITY_COUNT,LOW_MATCHED_WEIGHT", 4: "LOW_GROUP_COUNT", 5: "LOW_SOURCE_COUNT,LOW_MATCHED_WEIGHT", 6: "LOW_RESOLUTION", 7: "",
+        8: "LOW_SAMPLE_SIZE,LOW_ENTITY_COUNT,LOW_GROUP_COUNT,LOW_SOURCE_COUNT,LOW_RESOLUTION,LOW_MATCHED_WEIGHT",
+    }
+    assert {r["month"].month: r["score"] for r in got} == {k: 80.0 if k in (1, 7) else None for k in range(1, 9)}
