@@ -6,6 +6,7 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
@@ -34,16 +35,16 @@ def free_name(name: str, columns: list[str]) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is ``spark.checkpoint.dir``. Only a local master may run without that setting; it then gets a
-    temporary folder, since driver and executors are one process there.
+    It is ``spark.checkpoint.dir``. Only a local master (one process, whatever its threads) may run without
+    that setting; it then gets a temporary folder.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    spark.sparkContext.setCheckpointDir(made)
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -86,24 +87,36 @@ def vocabulary_file(name: str) -> str:
 class TextEncoder:
     """Token ids of whole texts by the ``tokenizers`` library, from the ids of their distinct chunks.
 
-    The vocabulary's normaliser and pre-tokeniser never look across a blank, so the ids of a text are those
-    of its blank-free chunks in order. Texts within Latin-1 and without control strings are also cut where
-    the pre-tokeniser cuts (around digits and runs of marks) and lower-cased first, which leaves far fewer
-    distinct chunks. Arrow cuts the texts and numbers the chunks by their exact strings; the library encodes
-    each chunk that is not in the cache. ``tests/llm/test_tokens.py`` holds this against whole-text encoding.
+    ``CHUNKED`` is the normaliser and pre-tokeniser of a lower-casing word BPE: it never looks across a blank,
+    so the ids of a text are those of its blank-free chunks in order. Texts within Latin-1 and without control
+    strings are also cut where the pre-tokeniser cuts (around digits and runs of marks) and lower-cased first,
+    which leaves far fewer distinct chunks. Arrow cuts the texts and numbers the chunks by their exact strings;
+    the library encodes each chunk that is not in the cache, whose two generations hold ``cache_bytes`` each.
+    A vocabulary with any other normaliser or pre-tokeniser encodes whole texts.
+    ``tests/llm/test_tokens.py`` holds both against whole-text encoding.
     """
 
     #: Blanks, letters and digits of Latin-1; the suffixes are those the pre-tokeniser keeps together.
     BLANK, LETTER, DIGIT = r"\t-\r \x{85}\x{a0}", r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}", r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}"
     CUT = rf"('(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[^{BLANK}{LETTER}{DIGIT}]+|[{DIGIT}])"
-
-    def __init__(self, vocabulary: str, size: int = 500_000, part_bytes: int = 8 << 20) -> None:
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    CHUNKED = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    )
+    #: What a cache entry takes besides its characters and ids: two objects' heads and a slot of the table.
+    ENTRY_BYTES = 220
+
+    def __init__(self, vocabulary: str, cache_bytes: int = 16 << 20, part_bytes: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.size, self.part_bytes = Tokenizer.from_file(vocabulary_file(vocabulary)), size, part_bytes
+        self.library, self.cache_bytes, self.part_bytes = Tokenizer.from_file(vocabulary_file(vocabulary)), cache_bytes, part_bytes
+        made_of = json.loads(self.library.to_str())
+        self.chunked = (made_of["normalizer"], made_of["pre_tokenizer"]) == self.CHUNKED
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         """Little-endian ids of each chunk; two generations of cache keep what is asked for often."""
@@ -119,7 +132,7 @@ class TextEncoder:
             for c, end in zip(part, ends.tolist(), strict=True):
                 fresh[c] = raw[at:end]
                 at = end
-        out = []
+        out, added = [], 0
         for c in chunks:
             got = young.get(c)
             if got is None:
@@ -128,9 +141,11 @@ class TextEncoder:
                     got = fresh[c]
                 if len(c) <= 64:
                     young[c] = got
+                    added += self.ENTRY_BYTES + len(c) + len(got)
             out.append(got)
-        if len(young) > self.size:
-            self.old, self.young = young, {"": b""}
+        self.held += added
+        if self.held > self.cache_bytes:
+            self.old, self.young, self.held = young, {"": b""}, 0
         return out
 
     def _cut(self, texts: pa.Array) -> pa.Array:
@@ -144,6 +159,9 @@ class TextEncoder:
         return pc.split_pattern(texts, " ")
 
     def _part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.chunked:
+            done = [x.ids for x in self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter((i for x in done for i in x), dtype="<u4"), np.array([len(x) for x in done], dtype=np.int64)
         cut = self._cut(texts)
         offsets = np.asarray(cut.offsets).astype(np.int64)
         numbered = cut.values.dictionary_encode()
@@ -161,8 +179,9 @@ class TextEncoder:
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, ids, ids per text) for runs of consecutive texts; null counts as empty.
 
-        A run holds about ``part_bytes`` of text. A text longer than that is cut at blanks on the way in
-        and put together again, so the working memory stays a small multiple of that and of its ids.
+        A run holds about ``part_bytes`` of text. A text longer than that is cut at blanks on the way in, where
+        the vocabulary allows it, and put together again, so the working memory stays a small multiple of that
+        and of its ids.
         """
         texts = pc.fill_null(texts, "")
         bytes_ = np.asarray(pc.binary_length(texts)).astype(np.int64)
@@ -170,7 +189,8 @@ class TextEncoder:
         while at < len(texts):
             total = np.cumsum(bytes_[at:])
             n = int(np.searchsorted(total, self.part_bytes, side="right"))
-            if n:
+            if n or not self.chunked:
+                n = max(n, 1)
                 yield at, *self._part(texts.slice(at, n))
                 at += n
                 continue

@@ -7,12 +7,13 @@ lower-cased text, where every run of characters that are not letters is one blan
 every text a short feature vector, and one-versus-rest kernel ridge regression is solved on these.
 
 Fitting uses a bounded sample: of each language the ``per_lang`` labelled documents with the smallest hash of
-their id, fewer if there are more than ``sample // per_lang`` languages. Whole texts count, in the sample as
+their id, fewer if there are more than ``sample // per_lang`` languages; beyond ``sample // 4`` languages only
+those with the most labelled rows are learned. Whole texts count, in the sample as
 in prediction; only slot bitmaps of the sample come to the driver. Prediction goes over batches: a presence
 matrix times the landmarks' matrix, its rows scaled, times the weights. It needs no shuffle.
 
 Defined results. Null text, or a text without a letter: ``und`` with score 0. Rows with a null or repeated
-doc_id are predicted like any other. A text of any length is read in pieces that overlap by an n-gram. Rows
+doc_id are predicted like any other, and of those that repeat an id one is learned from. A text of any length is read in pieces that overlap by an n-gram. Rows
 with a null lang, or doc_id, are never learned from. Without anything to learn from, all are ``und``.
 """
 
@@ -82,17 +83,26 @@ class Model:
 def fit(docs: DataFrame, per_lang: int = 200, landmarks: int = 24, ridge: float = 0.1, sample: int = 8000) -> Model | None:
     """``docs`` holds the rows that may be learned from: doc_id, text, lang."""
     rows = docs.filter("doc_id is not null and lang is not null")
-    langs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 4)
+    langs = {r["lang"]: r["n"] for r in most.collect()}
     if not langs:
         return None
     per_lang = max(4, min(per_lang, sample // len(langs)))
-    # only hashes low enough to be among the smallest, eight times over, go to a language's sort
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, 8 * per_lang / n)) for k, n in langs.items()], "lang string, share double")
     low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    few = rows.select("doc_id", "lang").join(F.broadcast(share), "lang").filter(low < F.col("share") * (1 << 30)).select("doc_id", "lang").distinct()
+
+    def lowest(share: dict[str, float]) -> DataFrame:
+        bound = docs.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
+        return rows.select("doc_id", "lang").join(F.broadcast(bound), "lang").filter(low < F.col("share") * (1 << 30)).select("doc_id", "lang").distinct()
+
+    # only hashes low enough to be among the smallest, eight times over, go to a language's sort; where rows repeat
+    # ids so often that too few are left, all of the language go
+    share = {k: min(1.0, 8 * per_lang / n) for k, n in langs.items()}
+    left = {r["lang"]: r["count"] for r in lowest(share).groupBy("lang").count().collect()}
+    share = {k: 1.0 if left.get(k, 0) < per_lang else v for k, v in share.items()}
     order = F.row_number().over(W.partitionBy("lang").orderBy(low, "doc_id"))
-    chosen = few.withColumn("place", order).filter(F.col("place") <= per_lang)
-    texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "place", "text")
+    chosen = lowest(share).withColumn("place", order).filter(F.col("place") <= per_lang)
+    # rows that repeat an id count once, with the smallest of their texts
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang", "place").agg(F.min("text").alias("text"))
 
     def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,18 +168,20 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
     return given.mapInArrow(run, schema)
 
 
-def lettered(docs: DataFrame) -> DataFrame:
-    """The rows whose text holds a letter, all columns as they are: those that ``predict`` gives a language when it has a model."""
-    kept = docs.columns
-    given = docs.select(*kept, F.col("text").cast("string").alias(free_name("read", kept)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            *columns, texts = batch.columns
-            some = [any(c.isalpha() for c in t or "") for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays(columns, kept).filter(pa.array(some, pa.bool_()))
-
-    return given.mapInArrow(run, docs.schema)
+def accept(docs: DataFrame, model: Model | None, least_score: float = 0.5, least_letters: int = 40) -> DataFrame:
+    """The rows in a language that the model knows, all columns as they are.
+
+    Rejected: null texts and texts without a letter; and texts of ``least_letters`` or more that no language's
+    classifier claims, that is, whose best score stays below ``least_score`` (0.5 is a decision value of 0).
+    Shorter texts hold too few n-grams to be judged, and stay. Without a model only letters decide.
+    """
+    columns = docs.columns
+    lang, score = free_name("lang_pred", columns), free_name("lang_score", columns)
+    got = predict(docs, model, into=(lang, score))
+    letters = F.regexp_count(F.col("text").cast("string"), F.lit(r"\p{L}"))
+    if model is None:
+        return docs.filter(letters > 0)
+    return got.filter((F.col(lang) != NONE) & ((F.col(score) >= least_score) | (letters < least_letters))).select(*columns)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

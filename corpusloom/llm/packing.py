@@ -7,8 +7,9 @@ over remaining capacities finds that sequence. A piece is placed as it arrives,
 sequences (a few integers each) and never the ids of a group.
 
 Defined results. Null or empty text: one piece that holds the end id alone. Null ``doc_id``: packed like any
-other. Repeated rows: each row is packed. Ties in length: by ``doc_id``, then ``start``; which of two rows
-that agree in both comes first makes no difference to any column but their place. Very long texts: cut into
+other. Repeated rows: each row is packed, and where rows repeat an id, or have none, their texts deal them to
+groups. Ties in length: by ``doc_id``, then ``start``; which of two rows that agree in both comes first makes
+no difference to any column but their place. Very long texts: cut into
 windows while they are tokenised. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -110,7 +111,9 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
     """``pieces`` with their sequence_id and offset. A sequence holds pieces of one group, without gaps.
 
     One shuffle, by group, carries the ids. The number of groups follows the number of documents (a count
-    that Parquet answers from its footers), so a group stays the same size at every scale.
+    that Parquet answers from its footers), so a group stays the same size at every scale. A group is drawn
+    from the id, the place in the document, the ids themselves and the input's partition, so that neither
+    missing ids nor exact copies gather in one, and every attempt of a task draws the same.
     """
     groups = max(1, docs.count() // group_docs)
 
@@ -129,7 +132,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
     parts = min(groups, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
     cut = pieces(docs, window, end_id, vocabulary)
     return (
-        cut.select(F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("pack_group"), "*")
+        cut.select(F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids"), F.spark_partition_id()), F.lit(groups)).alias("pack_group"), "*")
         .repartition(parts, "pack_group")
         .sortWithinPartitions("pack_group", F.desc("length"), "doc_id", "start")
         .mapInArrow(place, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")

@@ -239,9 +239,12 @@ def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def ranges(table: DataFrame) -> int:
-    """Hash ranges for an exchange, in proportion to the text and at least as many as shuffle partitions."""
-    raw = table.agg(F.sum("raw_bytes")).first()[0] or 0
-    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-raw // RANGE_BYTES))
+    """Hash ranges for an exchange: as many as shuffle partitions, more with much text, but no more than eight times that.
+
+    A block sends a row to each range, so their number may not grow with the text as the blocks' does.
+    """
+    raw, dealt = table.agg(F.sum("raw_bytes")).first()[0] or 0, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(dealt, -(-raw // RANGE_BYTES)), 8 * dealt)
 
 
 def dedup(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:

@@ -1,11 +1,15 @@
 """Words, their hashes and hashes of word runs for whole blocks of documents, in numpy; and the blocks themselves.
 
-Word hashes are polynomials over bytes, modulo 2^64, with a finaliser; hashes of runs combine those of their
-words the same way. Two seeds give independent hashes where a fingerprint of more than 64 bits is wanted.
+A word is hashed eight bytes at a time, each eight through a bijective, non-linear finaliser keyed by what
+went before; a word of over ``LONG_WORD`` bytes by BLAKE2b. A run of words is hashed by a multilinear form over
+its words' hashes, with a multiplier of its own for each place, and the finaliser. So no pattern in a word or
+in a run brings two hashes together, as patterns do with polynomials modulo a power of 2. Two seeds give
+independent hashes where a fingerprint of more than 64 bits is wanted.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-SLICE = 1 << 20
+KEYS = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+LONG_WORD = 64
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The lowest 0 to 8 bytes of a 64-bit integer.
+BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,9 +35,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(seed: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(max(n, 1), seed, dtype=np.uint64))
+def multipliers(seed: int, n: int) -> np.ndarray:
+    """n odd numbers without a rule between them."""
+    return np.array([int.from_bytes(hashlib.blake2b(bytes([seed, k]), digest_size=8).digest(), "little") | 1 for k in range(n)], dtype=np.uint64)
 
 
 @dataclass
@@ -48,30 +57,28 @@ class Block:
         return starts, ends, np.searchsorted(np.cumsum(self.sizes), starts, side="right")
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int, lower: bool = False) -> np.ndarray:
-        """A hash of each word, computed over slices of about SLICE bytes."""
-        out = np.empty(len(starts), dtype=np.uint64)
-        if not len(starts):
-            return out
-        base = powers(SEEDS[seed], int((ends - starts).max()) + 1)
-        w = 0
-        while w < len(starts):
-            to = max(w + 1, int(np.searchsorted(starts, starts[w] + SLICE)))
-            at, size = starts[w], ends[w:to] - starts[w:to]
-            own = np.repeat(starts[w:to] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            value = self.data[own]
-            if lower:
-                value = np.where((value >= 65) & (value <= 90), value + 32, value)
-            place = own - np.repeat(starts[w:to], size)
-            out[w:to] = np.add.reduceat((value.astype(np.uint64) + np.uint64(1)) * base[place], np.cumsum(size) - size)
-            w = to
-        return mix(out)
+        """A hash of each word."""
+        data = np.concatenate((LOWER[self.data] if lower else self.data, np.zeros(8, dtype=np.uint8)))
+        eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        size = ends - starts
+        out = size.astype(np.uint64) * SEEDS[seed]
+        short, at = np.flatnonzero(size <= LONG_WORD), 0
+        while len(short):
+            read = eight[starts[short] + at] & BYTES[np.minimum(size[short] - at, 8)]
+            out[short] = mix(out[short] * KEYS[seed] ^ read)
+            at += 8
+            short = short[size[short] > at]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+            out[i] = int.from_bytes(digest[8 * seed : 8 * seed + 8], "little")
+        return out
 
 
 def runs(hashes: np.ndarray, length: int, seed: int) -> np.ndarray:
     """A hash of each run of ``length`` consecutive words, whether or not it stays in one document."""
     n = max(0, len(hashes) - length + 1)
     total = np.zeros(n, dtype=np.uint64)
-    for k, p in enumerate(powers(SEEDS[seed], length)):
+    for k, p in enumerate(multipliers(seed, length)):
         total += hashes[k : k + n] * p
     return mix(total)
 

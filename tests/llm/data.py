@@ -7,6 +7,9 @@ import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
+#: A word of 2,048 letters that, with its letters exchanged, agrees in any polynomial modulo 2^64; and words around it.
+THUE_MORSE = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+BETWEEN = "w0 w1 w2 w3 w4 w5 {} w6 w7 w8 w9 w10 w11"
 
 
 def prose(seed: int, n: int) -> str:

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 
 from corpusloom.llm import jaccard
-from tests.llm.data import DOC_SCHEMA, documents, prose, shingles
+from corpusloom.llm.wordhash import Block
+from tests.llm.data import BETWEEN, DOC_SCHEMA, THUE_MORSE, documents, prose, shingles
 
 
 def brute(rows: list[tuple]) -> dict:
@@ -25,8 +27,8 @@ def brute(rows: list[tuple]) -> dict:
     return {d: find(d) for d in parent}
 
 
-def check(spark, rows: list[tuple], schema: str) -> None:
-    got = jaccard.join(spark.createDataFrame(rows, schema).repartition(3), block_bytes=3000).collect()
+def check(spark, rows: list[tuple], schema: str, **options: int) -> None:
+    got = jaccard.join(spark.createDataFrame(rows, schema).repartition(3), block_bytes=3000, **options).collect()
     want = brute(rows)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"]) for r in got) == sorted((d is None, d or 0, len(shingles(t))) for d, t, *_ in rows)
     assert all(r["component_id"] == want.get(r["doc_id"]) for r in got)
@@ -48,6 +50,43 @@ def test_near_copies_of_every_degree(spark) -> None:
     check(spark, rows, "doc_id long, text string")
 
 
+def test_lists_in_tiles(spark) -> None:
+    """Every list of two documents or more in tiles, with groups that chain, and documents outside each group."""
+    r, rows = random.Random(5), []
+    for g in range(3):
+        base = prose(70 + g, 60).split(" ")
+        for k in range(25):
+            w = list(base)
+            for _ in range(k % 9):
+                w[r.randrange(len(w))] = f"n{g}.{k}"
+            rows.append((100 * g + k, " ".join(w)))
+        rows += [(100 * g + 50 + k, " ".join(base[:20]) + " " + prose(80 + 9 * g + k, 22)) for k in range(9)]
+    check(spark, [*rows, (7, None), (8, "")], "doc_id long, text string", tile=1)
+
+
+def test_words_that_polynomials_confuse(spark) -> None:
+    check(spark, [(1, BETWEEN.format(THUE_MORSE)), (2, BETWEEN.format(THUE_MORSE.translate({97: 98, 98: 97}))), (3, BETWEEN.format(THUE_MORSE))], "doc_id long, text string")
+
+
+def test_many_short_documents_take_no_longer_than_their_text() -> None:
+    """450,000 documents of two words in one block; none of them costs a step of its own."""
+    n = 450_000
+    data = " ".join(f"w{k} v{k % 977}" for k in range(n)).encode() + b" "
+    sizes = np.array([len(f"w{k} v{k % 977} ") for k in range(n)])
+    began = time.perf_counter()
+    key, size = jaccard.shingle_sets(Block(np.arange(n), np.ones(n, dtype=bool), sizes, np.frombuffer(data, dtype=np.uint8)))
+    assert time.perf_counter() - began < 30 and len(key) == n == len(np.unique(key)) and (size == 1).all()
+
+
+def test_merge_skip_counts_what_is_in_enough_lists() -> None:
+    rng = random.Random(4)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(40), rng.randrange(0, 25))) for _ in range(rng.randrange(1, 9))]
+        need = rng.randrange(1, 6)
+        count = {m: sum(m in x for x in lists) for m in range(40)}
+        assert jaccard.merge_skip(lists, need) == {m: c for m, c in count.items() if c >= need}
+
+
 def test_deduplication_keeps_one_of_each(spark) -> None:
     docs = spark.createDataFrame(documents(), DOC_SCHEMA)
     kept = jaccard.deduplicate(docs)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 
 from corpusloom.llm import substring
-from tests.llm.data import DOC_SCHEMA, documents, words
+from tests.llm.data import BETWEEN, DOC_SCHEMA, THUE_MORSE, documents, words
 
 
 def brute(rows: list[tuple]) -> list[tuple]:
@@ -47,5 +47,12 @@ def test_every_alignment_is_found(spark) -> None:
     assert {r["n_removed"] for r in got if r["doc_id"] % 2} == {13} and {r["n_removed"] for r in got if r["doc_id"] % 2 == 0} == {0}
 
 
+def test_words_that_polynomials_confuse(spark) -> None:
+    other = THUE_MORSE.translate({97: 98, 98: 97})
+    rows = [(1, BETWEEN.format(THUE_MORSE)), (2, BETWEEN.format(other)), (3, BETWEEN.format(other))]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0, 3: 13}
+
+
 def test_nothing(spark) -> None:
     assert substring.dedup(spark.createDataFrame([], DOC_SCHEMA)).count() == 0

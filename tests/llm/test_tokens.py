@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import glob
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from corpusloom.llm import packing, tokens
 from corpusloom.llm.common import Scratch, TextEncoder, vocabulary_file
-from tests.llm.data import DOC_SCHEMA, documents
+from tests.llm.data import DOC_SCHEMA, documents, prose
 
 NAME = "word_bpe_49k.json"
 ODD = ["", "  ", "don't DON'T I'LL ''s .'s x's's", "<|endoftext|>abc <|ENDOFTEXT|>", "éa É İstan ßÀ b\x85c\x0bd\x1ce", "12.5%½²", "日本語 テスト", "ﬁ K", "Σας ΟΔΟΣ'Α", "'", "''", "'s", "ªµµ··", "x" * 100 + " " + "'" * 50, "ÀÉ'S 'LLa 'ſa '’s", "a<|b", "\ufeffx", "e\u0301 E\u0301", "a\r\nb\tc"]
@@ -25,10 +28,39 @@ def crc(values: list[int]) -> int:
 def test_chunks_give_the_ids_of_whole_texts() -> None:
     texts = ODD + [r[1] for r in documents()]
     for part_bytes in (1 << 20, 64):
-        got = [x for _, flat, n in TextEncoder(NAME, size=50, part_bytes=part_bytes).encode(pa.array(texts)) for x in np.split(flat, np.cumsum(n)[:-1])]
+        got = [x for _, flat, n in TextEncoder(NAME, cache_bytes=20_000, part_bytes=part_bytes).encode(pa.array(texts)) for x in np.split(flat, np.cumsum(n)[:-1])]
         assert [x.tolist() for x in got] == [ids(t) for t in texts]
 
 
+def test_other_vocabularies_encode_whole_texts(tmp_path) -> None:
+    """The same file with case kept: its chunks aren't those that the shortcut cuts."""
+    raw = json.load(open(vocabulary_file(NAME)))
+    raw["normalizer"]["normalizers"].pop()
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(raw))
+    texts = [*ODD, "Aa bB", "x " * 300]
+    whole = Tokenizer.from_file(str(other))
+    encode = TextEncoder(str(other), part_bytes=64)
+    assert not encode.chunked and TextEncoder(NAME).chunked
+    got = [x.tolist() for _, flat, n in encode.encode(pa.array(texts)) for x in np.split(flat, np.cumsum(n)[:-1])]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_layout_of_the_token_files(spark, tmp_path) -> None:
+    """Ids in dictionary pages, integers delta-encoded, indexes for both, more than one row group of a few rows."""
+    rows = [(k, prose(k, 300)) for k in range(400)]
+    tokens.write(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/d", parts=1, row_group_bytes=64 << 10)
+    (file,) = glob.glob(f"{tmp_path}/d/tokens/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 1
+    for g in range(meta.num_row_groups):
+        columns = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i) for i in range(meta.row_group(g).num_columns)}
+        assert "RLE_DICTIONARY" in columns["ids.list.element"].encodings
+        for name in ("doc_id", "local_start", "n_tokens"):
+            assert "DELTA_BINARY_PACKED" in columns[name].encodings and not columns[name].has_dictionary_page
+            assert columns[name].has_column_index and columns[name].has_offset_index
+
+
 def test_token_dataset(spark) -> None:
     rows = documents()
     path = Scratch(spark, "t").path("d")
@@ -76,6 +108,13 @@ def test_packing(spark) -> None:
     assert packing.pack(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
 
 
+def test_missing_ids_and_copies_spread_over_groups(spark) -> None:
+    """All rows alike, without an id: their groups differ by the input's partition."""
+    rows = [(None, "the same text in every row")] * 2000
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), group_docs=50).collect()
+    assert len(got) == 2000 and len({r["sequence_id"] >> 32 for r in got}) > 2
+
+
 def test_best_fit_takes_the_tightest_sequence() -> None:
     tree = packing.CapacityTree(16)
     for sequence, capacity in ((0, 9), (1, 4), (2, 16), (3, 4)):
