@@ -7,41 +7,54 @@ changes; the last returns the packed pieces. Between stages the documents are a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, jaccard, langid, packing, pii
-from corpusloom.llm.common import Scratch, free_name, table
+from corpusloom.llm.common import Scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects null texts and texts without a letter, and these only: no language or score that is predicted removes a row.
+    """Rejects documents in a language that the classifier doesn't know.
 
-    Without a model (nothing labelled to learn from) the rule is the same.
+    These are null and empty texts, texts without a letter, and texts of 40 letters or more that none of the
+    one-versus-rest classifiers claims. Shorter texts stay. Where no document is labelled there is nothing to
+    learn from, and only letters decide. A text of any length is read whole; null and repeated ids and repeated
+    rows are judged row by row, equal texts alike. An empty table gives an empty table.
     """
-    model = langid.fit(langid.learnable(docs))
-    if model is None:
-        return langid.lettered(docs)
-    into = (free_name("lang_pred", docs.columns), free_name("lang_score", docs.columns))
-    return langid.predict(docs, model, into=into).filter(F.col(into[0]) != langid.NONE).select(*docs.columns)
+    return langid.accept(docs, langid.fit(langid.learnable(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component."""
+    """Keeps one document of each component: that with the smallest doc_id, of rows that repeat it that with the smallest text.
+
+    Rows with a null id, and texts without words, resemble nothing and stay. Very long texts count whole. An
+    empty table gives an empty table.
+    """
     return jaccard.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a window of a benchmark item."""
+    """Rejects documents that hold a window of a benchmark item.
+
+    Rows are judged by their texts, so equal rows go or stay together, whatever their ids. Null and empty texts
+    hold nothing and stay; a long text counts whole. An empty table, or benchmark, rejects nothing.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; every document stays."""
+    """Replaces personal data by its kind; every document stays.
+
+    Null texts stay null, empty ones empty; ids play no part; long texts are read whole.
+    """
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents and their places in sequences, as op1 reports them."""
+    """The pieces of the remaining documents and their places in sequences, as op1 reports them.
+
+    A null or empty text is one piece that holds the end id; rows that repeat an id are packed each; a long text
+    is cut into windows. An empty table gives no pieces.
+    """
     return packing.digest(packing.pack(docs))
 
 
