@@ -19,11 +19,12 @@ STOP_TERMS = (
     "your our their its it this that these those every no not as via about than then so because through across "
     "under over you we they he she his her them us i me my mine ours yours according report reports said says say"
 )
-CONCEPT_HINTS = (
-    "students=Human student=Human people=GroupOfPeople person=Human human=Human migration=Immigrating immigration=Immigrating immigrant=Immigrating "
-    "revenue=CurrencyMeasure money=CurrencyMeasure dollar=CurrencyMeasure policy=Plan plan=Plan data=FactualText evidence=FactualText "
-    "company=Corporation corporation=Corporation report=Stating reported=Stating"
-)
+CONCEPT_HINTS = {
+    "students": "Human", "student": "Human", "people": "GroupOfPeople", "person": "Human", "human": "Human", "migration": "Immigrating",
+    "immigration": "Immigrating", "immigrant": "Immigrating", "revenue": "CurrencyMeasure", "money": "CurrencyMeasure", "dollar": "CurrencyMeasure",
+    "policy": "Plan", "plan": "Plan", "data": "FactualText", "evidence": "FactualText", "company": "Corporation", "corporation": "Corporation",
+    "report": "Stating", "reported": "Stating",
+}
 MODALS = "should need needs must can could will would may might"
 CLAIM_VERBS = (
     "enable enables ensure ensures transform transforms optimize optimizes unlock unlocks deliver delivers drive drives guarantee guarantees "

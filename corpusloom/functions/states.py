@@ -1,7 +1,15 @@
-"""Token to state: ordered rules, the first that holds decides. Each function gives SQL text for a dialect."""
+"""Token to state: ordered rules, the first that holds decides.
+
+Each function of the first part gives SQL text for one token, in a dialect. The second part states the same
+rules as patterns of whole tokens, from which ``sequence`` makes a chain of replacements over all tokens of a
+text at once: Spark compiles it, where a lambda over an array would be interpreted token by token.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from corpusloom.functions import lexicon as X
 from corpusloom.functions.dialect import Dialect
 
@@ -101,8 +109,7 @@ def semantic(q: Dialect, t: str) -> str:
     """The semantic pattern of a token, or null for tokens that have none."""
     low = f"lower({t})"
     hints: dict[str, list[str]] = {}
-    for pair in X.CONCEPT_HINTS.split():
-        word, concept = pair.split("=")
+    for word, concept in X.CONCEPT_HINTS.items():
         hints.setdefault(concept, []).append(word)
     return q.case(
         [
@@ -167,3 +174,108 @@ def char_shapes(q: Dialect, x: str) -> str:
     for pattern, mark in zip(classes, private, strict=True):
         x = q.sub(x, pattern, mark)
     return f"translate({x}, {q.lit(''.join(private))}, 'UlDSPO')"
+
+
+#: Before a token that waits for its state, and before a state's letter; white space, so no token holds them.
+WAITS, DONE = "\n", "\t"
+_ANY, _SOME, _END = r"[^\n\t]*", r"[^\n\t]+", r"(?![^\n\t])"
+_UPPER_WORD, _CAPITAL = r"[A-Z][A-Z'-]+", rf"[A-Z]{_ANY}"
+
+
+def _one_of(words: str) -> str:
+    return "(?i:" + "|".join(dict.fromkeys(words.split())) + ")"
+
+
+def _ends(endings: str) -> str:
+    return rf"{_ANY}(?i:{endings})"
+
+
+_NUMBER_OR_SIGN = rf"(?:{X.NUMBER_STATE}|[$€£])"
+_MOTIFS = [("NEG", n) for n in ("ABSTRACT", "CONTENT", "CLAIM_VERB")]
+_MOTIFS += [("UNIV", n) for n in ("ABSTRACT", "CONTENT", "ENTITY", "PRODUCT")]
+_MOTIFS += [("MODAL", n) for n in ("CLAIM_VERB", "CONTENT", "ABSTRACT")]
+_MOTIFS += [("NUM", n) for n in ("ABSTRACT", "CONTENT")]
+_MOTIFS += [(p, n) for p in ("ENTITY", "PRODUCT") for n in ("ENTITY", "PRODUCT", "CONTENT")]
+_MOTIFS += [("ABSTRACT", n) for n in ("ABSTRACT", "CLAIM_VERB")]
+#: view: ordered (state, pattern of a whole token); a state of None drops the token. The last pattern takes all.
+RULES: dict[str, list[tuple[str | None, str]]] = {
+    "shape": [
+        ("PUNCT", "[.!?;:—-]"), ("NUM", X.NUMBER_STATE), ("ALLCAPS", _UPPER_WORD), ("CAP", _CAPITAL), ("FUNC", _one_of(X.STOP_TERMS)),
+        ("SHORT", r"[^\n\t]{1,3}"), ("LONG", r"[^\n\t]{10,}"), ("WORD", _SOME),
+    ],
+    "coarse": [
+        ("PUNCT", "[.!?;:—-]"), ("NUM", _NUMBER_OR_SIGN), ("NEG", _one_of(X.NEGATIONS)), ("UNIV", _one_of(X.UNIVERSALS)), ("MODAL", _one_of(X.MODALS)),
+        ("CLAIM_VERB", _one_of(X.CLAIM_VERBS)), ("ENTITY", rf"(?!{_one_of(X.STOP_TERMS)}{_END}){_CAPITAL}"), ("PRODUCT", _one_of(X.PRODUCT_TERMS)),
+        ("ABSTRACT", f"(?:{_one_of(X.ABSTRACT_TERMS)}|{_ends(X.NOUN_ENDS)})"), ("FUNC", _one_of(X.STOP_TERMS)), ("CONTENT", _SOME),
+    ],
+    "posish": [
+        ("SENT_END", "[.!?]"), ("CLAUSE_PUNCT", "[;:—-]"), ("NUM", _NUMBER_OR_SIGN), ("NEG", _one_of(X.NEGATIONS)), ("MODAL", _one_of(X.MODALS)),
+        ("CLAIM_VERB", _one_of(X.CLAIM_VERBS)), ("FUNC", _one_of(X.STOP_TERMS)), ("ACRONYM", _UPPER_WORD), ("TITLE", _CAPITAL), ("ADVISH", _ends("ly")),
+        ("VERBISH", _ends(X.VERB_ENDS)), ("NOUN_ABSTRACT", _ends(X.NOUN_ENDS)), ("ADJISH", _ends(X.ADJECTIVE_ENDS)), ("CONTENT", _SOME),
+    ],
+    "semantic": [
+        ("NUMERIC", _NUMBER_OR_SIGN), (None, rf"(?:{_one_of(X.STOP_TERMS)}|[^\n\t])"),
+        *((f"SUMO::{c}", _one_of(" ".join(w for w, k in X.CONCEPT_HINTS.items() if k == c))) for c in dict.fromkeys(X.CONCEPT_HINTS.values())),
+        ("WORDNET_LEX::noun.attribute", _ends(X.NOUN_ENDS)), ("WORDNET_POS::verb", _ends(X.VERB_ENDS)), ("WORDNET_POS::adj", _ends(X.ADJECTIVE_ENDS)),
+        ("WORDNET_ENTITY_CANDIDATE", _CAPITAL), ("WORDNET_CONTENT", _SOME),
+    ],
+    "token_type": [
+        ("CAPS", "[A-Z]{2,}"), ("TITLE", "[A-Z][a-z]*"), ("LOWER", "[a-z]+"), ("ALPHA_MIXED", "[A-Za-z]+"), ("PUNCT", r"[^\p{L}\p{N}\n\t]+"),
+        ("ALNUM", rf"[A-Za-z](?={_ANY}[0-9]){_ANY}"), ("OTHER", _SOME),
+    ],
+    "posish_wide": [
+        ("PUNCT", r"[^\p{L}\p{N}\n\t]+"), ("DET", _one_of(X.DETERMINERS)), ("PRON", _one_of(X.PRONOUNS)), ("MODAL", _one_of(X.MODALS_WIDE)),
+        ("AUX", _one_of(X.AUXILIARIES)), ("PREP", _one_of(X.PREPOSITIONS)), ("CONJ", _one_of(X.CONJUNCTIONS)), ("ADV", f"(?:{_one_of(X.ADVERBS)}|{_ends('ly')})"),
+        ("GERUND", r"[^\n\t]+(?i:ing)"), ("PAST", r"[^\n\t]+(?i:ed)"), ("NOUNISH", _SOME),
+    ],
+}
+#: What the states of ``posish`` are to ``true_pos``.
+_TRUE_POS = {"NUM": "NUM", "NEG": "NEG", "MODAL": "MODAL", "CLAIM_VERB": "CLAIM_VERB", "TITLE": "NOUN", "ADVISH": "ADV", "VERBISH": "VERB", "NOUN_ABSTRACT": "NOUN", "ADJISH": "ADJ", "FUNC": "DET"}
+#: The states of each view; a state's letter is the view's first letter plus its place here.
+STATES: dict[str, tuple[str, ...]] = {v: tuple(s for s, _ in rules if s) for v, rules in RULES.items()}
+STATES["true_pos"] = tuple(dict.fromkeys(_TRUE_POS.get(s, "OTHER") for s in STATES["posish"]))
+STATES["motif"] = tuple(f"SPECIFIC_{p}_{n}" if p in ("ENTITY", "PRODUCT") else f"{p}_{n}" for p, n in _MOTIFS) + ("NO_MOTIF",)
+STATES["semantic"] += ("NO_SEMANTIC_PATTERN",)
+_BLOCK = 32
+_FIRST = {v: 0x100 + _BLOCK * k for k, v in enumerate(STATES)}
+
+
+def letter(view: str, state: str) -> str:
+    return chr(_FIRST[view] + STATES[view].index(state))
+
+
+def none_letter(view: str) -> str:
+    """A letter of the view's block that is no state."""
+    return chr(_FIRST[view] + _BLOCK - 1)
+
+
+def spelled(letters: Column) -> Column:
+    """The state of a letter (the first of a string), whatever its view."""
+    names = []
+    for view, states in STATES.items():
+        names += [*states, *[""] * (_BLOCK - len(states))]
+    return F.element_at(F.array(*map(F.lit, names)), F.ascii(letters) - 0xFF)
+
+
+def view_of(letters: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, STATES)), F.expr("1") + F.floor((F.ascii(letters) - 0x100) / _BLOCK).cast("int"))
+
+
+def _chain(marked: Column, view: str, rules: list[tuple[str | None, str]]) -> Column:
+    for state, pattern in rules:
+        marked = F.regexp_replace(marked, F.lit(rf"\n{pattern}{_END}"), F.lit(DONE + letter(view, state) if state else ""))
+    return F.translate(marked, WAITS + DONE, "")
+
+
+def sequence(tokens: Column, view: str) -> Column:
+    """The states of an array of tokens as a string, a letter for each."""
+    if view == "true_pos":
+        posish = STATES["posish"]
+        return F.translate(sequence(tokens, "posish"), "".join(letter("posish", s) for s in posish), "".join(letter(view, _TRUE_POS.get(s, "OTHER")) for s in posish))
+    if view == "motif":
+        pairs = [letter("coarse", p) + letter("coarse", n) for p, n in _MOTIFS]
+        found = F.regexp_extract_all(sequence(tokens, "coarse"), F.lit(f"(?=({'|'.join(pairs)}))."), F.lit(1))
+        got = _chain(F.concat(F.lit(WAITS), F.array_join(found, WAITS)), view, list(zip(STATES[view], pairs, strict=False)))
+        return F.regexp_replace(got, F.lit("^$"), F.lit(letter(view, "NO_MOTIF")))
+    got = _chain(F.concat(F.lit(WAITS), F.array_join(tokens, WAITS)), view, RULES[view])
+    return F.regexp_replace(got, F.lit("^$"), F.lit(letter(view, "NO_SEMANTIC_PATTERN"))) if view == "semantic" else got

@@ -1,4 +1,10 @@
-"""Token and state sequences as arrays, so that n-grams and transitions need no shuffle before they are counted."""
+"""Token and state sequences within a row, so that n-grams and transitions need no shuffle before they are counted.
+
+A state sequence is a string with a letter for each token (``functions.states``). N-grams of letters are found
+by one pattern, counted, and spelled out afterwards, when few are left. Everything runs in compiled code.
+``explode_outer`` is used throughout: for ``explode`` Catalyst infers a filter that would compute the whole
+sequence a second time.
+"""
 
 from __future__ import annotations
 
@@ -15,60 +21,77 @@ def tokens(text: str = "text", pattern: str = X.TOK_MARKOV) -> Column:
     return F.expr(SPARK.found(f"coalesce({text}, '')", pattern))
 
 
-def with_states(docs: DataFrame, views: tuple[str, ...] = ST.VIEWS) -> DataFrame:
-    """An array column for each of the views asked for; others cost nothing."""
-    out = docs.withColumn("tokens", tokens())
-    per_token = {"shape": ST.shape, "coarse": ST.coarse, "posish": ST.posish, "true_pos": ST.true_pos}
-    for v in views:
-        if v in per_token:
-            out = out.withColumn(v, F.expr(SPARK.each("tokens", "t", per_token[v](SPARK, "t"))))
-    if "motif" in views:
-        if "coarse" not in views:
-            out = out.withColumn("coarse", F.expr(SPARK.each("tokens", "t", ST.coarse(SPARK, "t"))))
-        pairs = F.expr(f"zip_with(slice(coarse, 1, greatest(0, size(coarse) - 1)), slice(coarse, 2, size(coarse)), (a, b) -> {ST.motif(SPARK, 'a', 'b')})")
-        out = out.withColumn("motif", or_else(F.filter(pairs, lambda m: m.isNotNull()), "NO_MOTIF"))
-    if "semantic" in views:
-        per = F.expr(SPARK.each("tokens", "t", ST.semantic(SPARK, "t")))
-        out = out.withColumn("semantic", or_else(F.filter(per, lambda m: m.isNotNull()), "NO_SEMANTIC_PATTERN"))
-    return out
+def with_states(docs: DataFrame, views: tuple[str, ...] = ST.VIEWS, pattern: str = X.TOK_MARKOV) -> DataFrame:
+    """A string of state letters for each of the views asked for; others cost nothing."""
+    out = docs.withColumn("tokens", tokens(pattern=pattern))
+    return out.withColumns({v: ST.sequence(F.col("tokens"), v) for v in views}).drop("tokens")
+
+
+def exploded(df: DataFrame, keep: tuple[str, ...], items: Column, name: str) -> DataFrame:
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
+def grams(seq: str, n: int) -> Column:
+    """All runs of n letters, in order of their start."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{n}}}))."), F.lit(1))
+
 
+def spelled(gram: Column, n: int, sep: str = "|") -> Column:
+    """The names of the n letters of a gram."""
+    return F.concat_ws(sep, *(ST.spelled(F.substring(gram, k + 1, 1)) for k in range(n)))
 
-def or_else(states: Column, sentinel: str) -> Column:
-    return F.when(F.size(states) == 0, F.array(F.lit(sentinel))).otherwise(states)
 
+def state_counts(df: DataFrame, view: str) -> DataFrame:
+    """doc_id, state, n. A row's counts are made within it, so that only a few rows for each document travel."""
+    seq = F.col(view)
+    n = lambda s: F.length(seq) - F.length(F.replace(seq, F.lit(ST.letter(view, s))))
+    per = F.array(*(F.struct(F.lit(s).alias("state"), n(s).alias("n")) for s in ST.STATES[view]))
+    rows = df.select("doc_id", F.explode_outer(per).alias("s")).filter("s.n > 0")
+    return rows.groupBy("doc_id", "s.state").agg(F.sum("s.n").alias("n"))
 
-def ngrams(seq: str, n: int, sep: str = "|") -> Column:
-    """Joined n-grams in order of their start."""
-    start = SPARK.upto(f"size({seq}) - {n - 1}")
-    return F.expr(f"transform({start}, i -> array_join(slice({seq}, i, {n}), '{sep}'))")
 
+def words(text: str = "text") -> Column:
+    """Lower-cased words with a line end between them."""
+    return F.lower(F.array_join(tokens(text, X.TOK_WORD), ST.WAITS))
 
-def skip_bigrams(seq: str, gap: int = 1, sep: str = "|") -> Column:
-    return F.expr(f"transform({SPARK.upto(f'size({seq}) - {gap + 1}')}, i -> concat({seq}[i - 1], '{sep}', {seq}[i + {gap}]))")
 
+def word_bigrams(joined: str) -> Column:
+    return F.regexp_extract_all(joined, F.lit(r"(?=([^\n]+\n[^\n]+))[^\n]+"), F.lit(1))
 
-def runs(seq: str, alphabet: tuple[str, ...]) -> Column:
-    """Runs of equal neighbours as structs (state, length), in order. States become letters, so that one pattern finds all runs."""
-    names = F.array(*map(F.lit, alphabet))
-    letters = F.array_join(F.transform(seq, lambda s: F.char(F.array_position(names, s) + 64)), "")
-    found = F.regexp_extract_all(letters, F.lit(r"(.)\1*"), F.lit(0))
-    return F.transform(found, lambda r: F.struct(F.element_at(names, F.ascii(r) - 64).alias("state"), F.length(r).alias("length")))
 
+def runs(seq: str) -> Column:
+    """Runs of equal letters, in order."""
+    return F.regexp_extract_all(seq, F.lit(r"(.)\1*"), F.lit(0))
 
-def transitions(df: DataFrame, views: tuple[str, ...], orders: tuple[int, ...] = (1,), keep: tuple[str, ...] = ()) -> DataFrame:
-    """view, ord, context, next for every transition, with the columns of ``keep``. One pass over the rows."""
-    each = []
-    for v in views:
-        for o in orders:
-            start = SPARK.upto(f"size({v}) - {o}")
-            each.append(F.expr(f"transform({start}, i -> struct('{v}' AS view, {o} AS ord, array_join(slice({v}, i, {o}), '|') AS context, {v}[i + {o} - 1] AS next))"))
-    return df.select(*keep, F.explode(F.concat(*each)).alias("t")).select(*keep, "t.view", "t.ord", "t.context", "t.next")
+
+def transitions(df: DataFrame, views: tuple[str, ...], orders: tuple[int, ...] = (1,), keep: tuple[str, ...] = (), none: bool = False) -> DataFrame:
+    """``gram`` for every transition, with the columns of ``keep``; one pass over the rows. Letters tell the view, length the order.
+
+    With ``none`` each row also has, for every view and order, one gram of letters that stand for no state.
+    """
+    each = [grams(v, o + 1) for v in views for o in orders]
+    if none:
+        each.append(F.array(*(F.lit(ST.none_letter(v) * (o + 1)) for v in views for o in orders)))
+    return exploded(df, keep, F.concat(*each), "gram")
+
+
+def told(df: DataFrame) -> DataFrame:
+    """view, ord, context and next of a gram in place of it."""
+    size = F.length("gram")
+    named = F.concat_ws("|", *(F.when(size > k + 1, ST.spelled(F.substring("gram", k + 1, 1))) for k in range(4)))
+    at = {"view": ST.view_of(F.col("gram")), "ord": (size - 1).cast("int"), "context": named, "next": ST.spelled(F.substring(F.col("gram"), -1, 1))}
+    return df.withColumns(at).drop("gram")
 
 
 def top_ngrams(df: DataFrame, seq: str, orders: tuple[int, ...] = (2, 3), limit: int = 48) -> DataFrame:
-    """Per document and order the most frequent n-grams; ties go by first appearance."""
-    each = [F.expr(f"transform({SPARK.upto(f'size({seq}) - {n - 1}')}, i -> struct({n} AS ord, i AS pos, array_join(slice({seq}, i, {n}), '_') AS gram))") for n in orders]
-    grams = df.select("doc_id", F.explode(F.concat(*each)).alias("g")).select("doc_id", "g.*")
-    counted = grams.groupBy("doc_id", "ord", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    """Per document and order the most frequent n-grams; ties go by first appearance.
+
+    Only the letters travel, by document; counts, places and cuts are made where they arrive.
+    """
+    near = df.select("doc_id", seq).repartition("doc_id")
+    found = near.select("doc_id", F.posexplode_outer(F.concat(*(grams(seq, n) for n in orders))).alias("pos", "gram")).filter("gram is not null")
+    counted = found.groupBy("doc_id", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("first")).withColumn("ord", F.length("gram"))
     place = F.row_number().over(W.partitionBy("doc_id", "ord").orderBy(F.desc("n"), "first"))
-    return counted.withColumn("place", place).filter(F.col("place") <= limit).select("doc_id", "ord", "gram", "n")
+    kept = counted.withColumn("place", place).filter(F.col("place") <= limit)
+    name = F.concat_ws("_", *(F.when(F.col("ord") > k, ST.spelled(F.substring("gram", k + 1, 1))) for k in range(max(orders))))
+    return kept.select("doc_id", F.col("ord").cast("int").alias("ord"), name.alias("gram"), "n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpusloom.functions import lexicon as X
+from corpusloom.functions import states as ST
 from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.operators import markov as M
 from corpusloom.operators import models as MO
@@ -95,10 +96,11 @@ _FEAT = f"""(SELECT doc_id, feature, count(*)::DOUBLE AS value FROM (
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Q.with_states(docs(spark, sf_dir), ("coarse",))
-    words = F.transform(F.expr(SPARK.found(repr_, X.TOK_WORD)), lambda t: F.concat(F.lit("lex::"), F.lower(t)))
-    every = F.concat(words, F.transform("coarse", lambda t: F.concat(F.lit("coarse::"), t)))
-    return rows.select("doc_id", F.explode(every).alias("feature")).groupBy("doc_id", "feature").agg(F.count("*").cast("double").alias("value"))
+    rows = Q.with_states(docs(spark, sf_dir), ("coarse",)).withColumn("w", Q.words())
+    every = F.concat(F.split("w", ST.WAITS), Q.grams("coarse", 1))
+    found = Q.exploded(rows, ("doc_id",), every, "f").filter("f <> ''").groupBy("doc_id", "f").agg(F.count("*").cast("double").alias("value"))
+    state = F.ascii("f") > 127  # words are ASCII, letters of states are not
+    return found.select("doc_id", F.when(state, F.concat(F.lit("coarse::"), ST.spelled(F.col("f")))).otherwise(F.concat(F.lit("lex::"), "f")).alias("feature"), "value")
 
 
 _VOCAB = f"(SELECT feature, df FROM (SELECT feature, count(*)::BIGINT AS df FROM {_FEAT} GROUP BY 1) WHERE df >= 3 ORDER BY df DESC, feature LIMIT 300)"
@@ -229,7 +231,7 @@ SELECT feature, ai::BIGINT AS ai, human::BIGINT AS human, ((ai + 1) / (n1 + 2))
 
 def _lift(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = Q.with_states(docs(spark, sf_dir), ("motif",))
-    f = rows.select("doc_id", F.explode(F.array_distinct("motif")).alias("s")).select("doc_id", F.concat(F.lit("state:"), "s").alias("feature"))
+    f = Q.exploded(rows, ("doc_id",), F.array_distinct(Q.grams("motif", 1)), "s").select("doc_id", F.concat(F.lit("state:"), ST.spelled(F.col("s"))).alias("feature"))
     counted = docs(spark, sf_dir).filter("text <> ''").select("doc_id").join(labels(spark, sf_dir), "doc_id")
     return MO.lift(f, counted), f
 

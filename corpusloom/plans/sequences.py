@@ -41,8 +41,7 @@ def seq_sql(view: str) -> str:
 
 def _state_counts(view: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = Q.with_states(docs(spark, sf_dir), (view,))
-        return rows.select("doc_id", F.explode(view).alias("state")).groupBy("doc_id", "state").agg(F.count("*").alias("n"))
+        return Q.state_counts(Q.with_states(docs(spark, sf_dir), (view,)), view)
 
     run.__name__ = {"shape": "shape_states", "coarse": "coarse_states", "posish": "posish_states", "true_pos": "true_pos_fallback", "motif": "motifs", "semantic": "semantic_patterns"}[view]
     query(f"SELECT doc_id, state, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(s) AS state FROM {seq_sql(view)}) GROUP BY ALL")(run)
@@ -52,14 +51,13 @@ for _view in ST.VIEWS:
     _state_counts(_view)
 
 
-def _spike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", Q.tokens(pattern=X.TOK_SPIKE).alias("tokens"))
+def _spike(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    return Q.with_states(docs(spark, sf_dir), (view,), X.TOK_SPIKE)
 
 
 @query(f"SELECT doc_id, state, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest({DUCK.each('tokens', 't', ST.token_type(DUCK, 't'))}) AS state FROM {TOK_SPIKE}) GROUP BY ALL")
 def token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spike(spark, sf_dir).select("doc_id", F.explode(F.expr(SPARK.each("tokens", "t", ST.token_type(SPARK, "t")))).alias("state"))
-    return rows.groupBy("doc_id", "state").agg(F.count("*").alias("n"))
+    return Q.state_counts(_spike(spark, sf_dir, "token_type"), "token_type")
 
 
 @query(f"""
@@ -67,10 +65,11 @@ WITH s AS (SELECT doc_id, {DUCK.each('tokens', 't', ST.posish_wide(DUCK, 't'))}
 SELECT gram, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM (
   SELECT doc_id, unnest(list_concat(list_transform(s, lambda t: 'posish::1=' || t), list_transform({zipped('s', 2)}, lambda z: 'posish::2=' || z[1] || '|' || z[2]))) AS gram FROM s) GROUP BY 1""")
 def posish_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spike(spark, sf_dir).select("doc_id", F.expr(SPARK.each("tokens", "t", ST.posish_wide(SPARK, "t"))).alias("s"))
-    grams = F.concat(F.transform("s", lambda t: F.concat(F.lit("posish::1="), t)), F.transform(Q.ngrams("s", 2), lambda t: F.concat(F.lit("posish::2="), t)))
-    per_doc = rows.select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    rows = _spike(spark, sf_dir, "posish_wide")
+    found = Q.exploded(rows, ("doc_id",), F.concat(Q.grams("posish_wide", 1), Q.grams("posish_wide", 2)), "g")
+    per_doc = found.groupBy("doc_id", "g").agg(F.count("*").alias("n"))
+    every = per_doc.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return every.select(F.concat(F.lit("posish::"), F.length("g").cast("string"), F.lit("="), F.when(F.length("g") == 1, Q.spelled(F.col("g"), 1)).otherwise(Q.spelled(F.col("g"), 2))).alias("gram"), "n", "docs")
 
 
 @query(f"""
@@ -81,29 +80,29 @@ def char_shape_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select(F.expr(ST.char_shapes(SPARK, "coalesce(text, '')")).alias("s"))
     # three splits into triples, shifted by 0, 1 and 2, hold every trigram once
     grams = [F.expr(f"regexp_extract_all(substring(s, {k}), '...', 0)") for k in (1, 2, 3)]
-    return rows.select(F.explode(F.concat(*grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return Q.exploded(rows, (), F.concat(*grams), "gram").groupBy("gram").agg(F.count("*").alias("n"))
 
 
 _LEX = f"(SELECT doc_id, {DUCK.each(DUCK.found(repr_, X.TOK_WORD), 't', 'lower(t)')} AS w FROM documents)"
 
 
-def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.expr(SPARK.each(SPARK.found(repr_, X.TOK_WORD), "t", "lower(t)")).alias("w"))
-
-
 @query(f"""
 SELECT gram, df, n FROM (SELECT gram, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS n
   FROM (SELECT doc_id, unnest(list_transform({zipped('w', 2)}, lambda z: z[1] || '|' || z[2])) AS gram FROM {_LEX}) GROUP BY 1)
 ORDER BY df DESC, gram LIMIT 200""")
 def lexical_bigrams_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = _lexical(spark, sf_dir).select("doc_id", F.explode(Q.ngrams("w", 2)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    return grams.groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").alias("n")).orderBy(F.desc("df"), "gram").limit(200)
+    rows = docs(spark, sf_dir).select("doc_id", Q.words().alias("w"))
+    per_doc = Q.exploded(rows, ("doc_id",), Q.word_bigrams("w"), "g").groupBy("doc_id", "g").agg(F.count("*").alias("n"))
+    every = per_doc.groupBy(F.translate("g", ST.WAITS, "|").alias("gram")).agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    return every.orderBy(F.desc("df"), "gram").limit(200)
 
 
 @query(f"SELECT gram, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform({zipped('s', 3)}, lambda z: z[1] || '|' || z[3])) AS gram FROM {seq_sql('coarse')}) GROUP BY 1")
 def skip_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.with_states(docs(spark, sf_dir), ("coarse",))
-    return rows.select(F.explode(Q.skip_bigrams("coarse")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    per = Q.exploded(rows, (), Q.grams("coarse", 3), "g").groupBy("g").agg(F.count("*").alias("n"))
+    name = F.concat_ws("|", ST.spelled(F.substring("g", 1, 1)), ST.spelled(F.substring("g", 3, 1)))
+    return per.groupBy(name.alias("gram")).agg(F.sum("n").alias("n"))
 
 
 @query(f"""
@@ -113,14 +112,15 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f),
 r AS (SELECT doc_id, run, any_value(state) AS state, count(*) AS length FROM g GROUP BY ALL)
 SELECT state, length::BIGINT AS length, count(*)::BIGINT AS n FROM r GROUP BY ALL""")
 def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Q.with_states(docs(spark, sf_dir), ("shape",)).select(F.explode(Q.runs("shape", ST.SHAPES)).alias("r"))
-    return rows.groupBy("r.state", F.col("r.length").cast("long").alias("length")).agg(F.count("*").alias("n"))
+    rows = Q.exploded(Q.with_states(docs(spark, sf_dir), ("shape",)), (), Q.runs("shape"), "r")
+    per = rows.groupBy(F.substring("r", 1, 1).alias("s"), F.length("r").cast("long").alias("length")).agg(F.count("*").alias("n"))
+    return per.select(ST.spelled(F.col("s")).alias("state"), "length", "n")
 
 
 @query(f"SELECT view, context, next, count(*)::BIGINT AS n FROM (SELECT 'shape' AS view, unnest(list_transform({zipped('s', 2)}, lambda z: {{'context': z[1], 'next': z[2]}}), recursive := true) FROM {seq_sql('shape')}) GROUP BY ALL")
 def transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.with_states(docs(spark, sf_dir), ("shape",))
-    return Q.transitions(rows, ("shape",)).groupBy("view", "context", "next").agg(F.count("*").alias("n"))
+    return Q.told(Q.transitions(rows, ("shape",)).groupBy("gram").agg(F.count("*").alias("n"))).select("view", "context", "next", "n")
 
 
 @query(f"""
@@ -128,7 +128,7 @@ WITH s AS {seq_sql('posish')},
 g AS (SELECT doc_id, 2 AS ord, unnest(list_transform({zipped('s', 2)}, lambda z: z[1] || '_' || z[2])) AS gram, unnest(range(1, len(s))) AS pos FROM s
   UNION ALL SELECT doc_id, 3, unnest(list_transform({zipped('s', 3)}, lambda z: z[1] || '_' || z[2] || '_' || z[3])), unnest(range(1, len(s) - 1)) FROM s),
 c AS (SELECT doc_id, ord, gram, count(*)::BIGINT AS n, min(pos) AS first FROM g GROUP BY 1, 2, 3)
-SELECT doc_id, ord, gram, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY n DESC, first) AS place FROM c) WHERE place <= 12""")
+SELECT doc_id, ord, gram, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY n DESC, first) AS place FROM c) WHERE place <= 48""")
 def topk_seq_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.top_ngrams(Q.with_states(docs(spark, sf_dir), ("posish",)), "posish")
 
@@ -137,40 +137,33 @@ _CONV = """(SELECT conv_id, list(role ORDER BY turn) AS roles,
   list(CASE WHEN length(text) < 100 THEN 'S' WHEN length(text) < 250 THEN 'M' ELSE 'L' END ORDER BY turn) AS sizes FROM conversations GROUP BY 1)"""
 
 
-def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("text")
-    size = F.when(n < 100, "S").when(n < 250, "M").otherwise("L")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", size.alias("size")).alias("t"))
-    ordered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return ordered.select("conv_id", F.col("t.role").alias("roles"), F.col("t.size").alias("sizes"))
-
-
 @query(f"""
 WITH a AS (SELECT list_transform(range(1, len(roles) + 1), lambda i: roles[i] || ':' || sizes[i]) AS s, len(roles) AS n FROM {_CONV})
 SELECT gram, count(*)::BIGINT AS n FROM (SELECT unnest(list_concat(list_transform(s, lambda x: '1=' || x), list_transform(range(1, len(s)), lambda i: '2=' || s[i] || '|' || s[i + 1]))) AS gram FROM a) GROUP BY 1""")
 def aligned_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grams over two aligned sequences, role and size of each turn."""
-    rows = _conversations(spark, sf_dir).select(F.zip_with("roles", "sizes", lambda a, b: F.concat(a, F.lit(":"), b)).alias("s"))
-    grams = F.concat(F.transform("s", lambda x: F.concat(F.lit("1="), x)), F.transform(Q.ngrams("s", 2), lambda x: F.concat(F.lit("2="), x)))
-    return rows.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """Grams over two aligned sequences, role and size of each turn; a turn looks at the next, so no conversation is gathered."""
+    n = F.length("text")
+    step = F.concat("role", F.lit(":"), F.when(n < 100, "S").when(n < 250, "M").otherwise("L"))
+    after = F.lead("s").over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", step.alias("s")).withColumn("after", after)
+    grams = F.array(F.concat(F.lit("1="), "s"), F.concat(F.lit("2="), "s", F.lit("|"), "after"))
+    return Q.exploded(rows, (), grams, "gram").groupBy("gram").agg(F.count("*").alias("n"))
 
 
 _EV = "(SELECT user_id, list(event_type ORDER BY ts, event_id) AS s FROM events GROUP BY 1)"
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", "event_type").alias("e"))
-    return rows.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("e")).select("user_id", F.col("e.event_type").alias("s"))
-
-
 @query(f"""
 WITH w AS (SELECT unnest([2, 3, 4]) AS width),
 c AS (SELECT width, unnest(list_transform(range(1, len(s) - width + 2), lambda i: width || '::' || ((i - 1) // width) || '=' || array_to_string(s[i:i + width - 1], '|'))) AS gram FROM {_EV} CROSS JOIN w)
 SELECT gram, count(*)::BIGINT AS n FROM c GROUP BY 1""")
 def presence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window n-grams of 2 to 4 events, with the chunk that the (overlapping) start falls in."""
-    each = [F.expr(f"transform({SPARK.upto(f'size(s) - {w - 1}')}, i -> concat('{w}::', (i - 1) DIV {w}, '=', array_join(slice(s, i, {w}), '|')))") for w in (2, 3, 4)]
-    return _events(spark, sf_dir).select(F.explode(F.concat(*each)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """Window n-grams of 2 to 4 events, with the chunk that the (overlapping) start falls in; an event looks at the three after it."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    later = [F.lead("event_type", k).over(w).alias(f"e{k}") for k in range(4)]
+    rows = table(spark, sf_dir, "events").select(F.row_number().over(w).alias("i"), *later)
+    whole = lambda k: F.concat(F.lit(f"{k}::"), F.floor((F.col("i") - 1) / k).cast("string"), F.lit("="), *(x for j in range(k) for x in (F.lit("|" if j else ""), F.col(f"e{j}"))))
+    return Q.exploded(rows, (), F.array(*map(whole, (2, 3, 4))), "gram").groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -179,9 +172,11 @@ SELECT gram, count(*)::BIGINT AS n FROM (SELECT unnest(list_concat(list_transfor
 FROM {seq_sql('semantic')}) GROUP BY 1""")
 def concept_lane_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.with_states(docs(spark, sf_dir), ("semantic",))
-    mark = lambda name, arr: F.transform(arr, lambda x: F.concat(F.lit(name), x))
-    grams = F.concat(mark("concept=", F.col("semantic")), mark("concept2=", Q.ngrams("semantic", 2)), mark("concept3=", Q.ngrams("semantic", 3)))
-    return rows.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    per = Q.exploded(rows, (), F.concat(*(Q.grams("semantic", n) for n in (1, 2, 3))), "g").groupBy("g").agg(F.count("*").alias("n"))
+    size = F.length("g")
+    name = F.concat_ws("|", *(F.when(size > k, ST.spelled(F.substring("g", k + 1, 1))) for k in range(3)))
+    lane = F.concat(F.lit("concept"), F.when(size > 1, size.cast("string")).otherwise(""), F.lit("="))
+    return per.select(F.concat(lane, name).alias("gram"), "n")
 
 
 @query("""

@@ -5,11 +5,13 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import lexicon as X
 from corpusloom.functions import states as ST
 from corpusloom.functions.dialect import SPARK
 from corpusloom.operators import chunking as C
 from corpusloom.operators import graphs, sampling
 from corpusloom.operators import models as MO
+from corpusloom.operators import sequences as Q
 from corpusloom.sources import tables as IO
 
 TOKENS = ["for", "can", "ABC", "$", "12%", "—", "Running", "nation", "never", "system", "quickly", "api"]
@@ -30,6 +32,22 @@ def test_first_rule_wins(spark, rule, want) -> None:
     assert [r["s"] for r in rows.collect()] == want
 
 
+@pytest.mark.parametrize("view", ["shape", "coarse", "posish", "true_pos", "semantic", "token_type", "posish_wide"])
+def test_chains_of_replacements_follow_the_rules(spark, view) -> None:
+    """The letters of whole texts against the rules token by token, for tokens in every order."""
+    spike = view in ("token_type", "posish_wide")
+    odd = [*TOKENS, "€", "a", "B", "NOT", "Should", "don't", "A-", "every", "Students", "REPORT", "12.5+", "Ångström", "ly", "ing", "Bring", "x9", "AB", "McDonald", "-", "''", "\x01", "\U0001f600", "enablement"]
+    texts = [" ".join(odd), " ".join(reversed(odd)), "", "  ", "the", "—", None, *odd]
+    pattern = X.TOK_SPIKE if spike else X.TOK_MARKOV
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = Q.with_states(rows, (view,), pattern)
+    got = got.select("doc_id", F.transform(F.split(view, ""), lambda c: ST.spelled(c)).alias("s"))
+    want = rows.select("doc_id", F.expr(SPARK.each(SPARK.found("coalesce(text, '')", pattern), "t", getattr(ST, view)(SPARK, "t"))).alias("s"))
+    none = ["NO_SEMANTIC_PATTERN"] if view == "semantic" else []
+    clean = lambda df, empty: {r["doc_id"]: [x for x in r["s"] if x] or empty for r in df.collect()}
+    assert clean(got, none) == clean(want, none)
+
+
 def test_char_shapes(spark) -> None:
     row = spark.createDataFrame([("Ab1 ,§É",)], "t string").select(F.expr(ST.char_shapes(SPARK, "t")).alias("s")).first()
     assert row["s"] == "UlDSPOU"
@@ -69,8 +87,8 @@ def test_components_of_a_long_path(spark) -> None:
 
 
 def test_sources(spark, tmp_path) -> None:
-    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{"x": 2}\nnot json\n')
-    assert sorted(r["x"] for r in IO.read_jsonl(spark, f"{tmp_path}/a.jsonl", "x int", lenient=True).collect() if r["x"]) == [1, 2]
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n{"x": 2}\nnot json\n[3]\n"x"\n{"x": null}\n')
+    assert sorted((r["x"] or 0) for r in IO.read_jsonl(spark, f"{tmp_path}/a.jsonl", "x int", lenient=True).collect()) == [0, 1, 2]
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
         IO.read_jsonl(spark, f"{tmp_path}/a.jsonl", "x int").collect()
     assert IO.read_csv(spark, f"{tmp_path}/none.csv", "x int").count() == 0
