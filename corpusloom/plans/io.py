@@ -34,7 +34,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.read_lines(spark, path).groupBy("text").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey, CASE WHEN regexp_matches(c_name, '^[=+@-]') THEN '''' || c_name ELSE c_name END AS c_name, CASE WHEN c_acctbal < 0 THEN '''' || c_acctbal::VARCHAR ELSE c_acctbal::VARCHAR END <> '' AS has_balance FROM customer ORDER BY c_custkey LIMIT 500")
+@query("SELECT c_custkey, CASE WHEN regexp_matches(c_name, '^[=+@-]') THEN '''' || c_name ELSE c_name END AS c_name, CASE WHEN c_acctbal < 0 THEN '''' || c_acctbal::VARCHAR ELSE c_acctbal::VARCHAR END <> '' AS has_balance FROM customer ORDER BY c_custkey LIMIT 5000")
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "export")
     rows = IO.table(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("balance"))

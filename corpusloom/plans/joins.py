@@ -16,7 +16,7 @@ from corpusloom.sources.tables import table
 
 
 @query("""
-SELECT l.doc_id, quality::INT AS quality, coalesce(trim(text), '') = '' AS missing, length(coalesce(text, ''))::BIGINT AS chars FROM labels l LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = l.doc_id""")
+SELECT l.doc_id, quality::INT AS quality, coalesce(trim(text), '') = '' AS missing, length(coalesce(text, ''))::BIGINT AS chars FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
 def text_lookup_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of the whole documents table looked up for rows; a miss and a blank text both count as missing."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,21 +79,22 @@ def interval_blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("event_type").agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("b") - F.col("a")) / 1e6, 3).alias("mean_gap_s"))
 
 
-@query(r"""
+_LINKS = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END AS t FROM w WHERE len(w) > 0),
 s AS (SELECT doc_id, list_sort(list_distinct(t)) AS s FROM t), c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s GROUP BY s), k AS (SELECT rep, n, unnest(s) AS k FROM c),
 o AS (SELECT x.rep AS a, y.rep AS b, x.n + y.n AS n, count(*) AS o FROM k x JOIN k y ON x.k = y.k AND x.rep < y.rep GROUP BY x.rep, y.rep, x.n, y.n)
-SELECT rep AS a, doc_id AS b, 1.0::DOUBLE AS jaccard FROM s JOIN c USING (s) WHERE doc_id <> rep UNION ALL SELECT a, b, round(o / (n - o), 6) FROM o WHERE 100 * o >= 75 * (n - o)""")
+SELECT rep AS a, doc_id AS b, 1.0::DOUBLE AS jaccard FROM s JOIN c USING (s) WHERE doc_id <> rep UNION ALL SELECT a, b, round(o / (n - o), 6) FROM o WHERE 100 * o >= 75 * (n - o)"""
+
+
+@query(_LINKS)
 def near_dups_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.75 or more; copies link to the first of their class."""
     return near_links(table(spark, sf_dir, "documents").select("doc_id", "text")).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(r"""
-WITH RECURSIVE k AS (SELECT doc_id, sha256(lower(text)) AS a, sha256(lower(substr(text, 1, 40))) AS b FROM documents WHERE length(text) >= 40),
-e AS (SELECT k.doc_id AS x, m AS y FROM k JOIN (SELECT a, min(doc_id) AS m FROM k GROUP BY 1) USING (a) WHERE k.doc_id <> m UNION SELECT k.doc_id, m FROM k JOIN (SELECT b, min(doc_id) AS m FROM k GROUP BY 1) USING (b) WHERE k.doc_id <> m),
-u AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+@query(f"""
+WITH RECURSIVE e AS (SELECT a, b FROM ({_LINKS})), u AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
 r AS (SELECT x AS id, x AS o FROM u UNION SELECT r.id, u.y FROM r JOIN u ON u.x = r.o)
 SELECT id, min(o) AS component FROM r GROUP BY 1""")
 def connected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpusloom.functions import lexicon as X
+from corpusloom.functions import text as T
 from corpusloom.functions.dialect import DUCK, SPARK
+from corpusloom.operators import sequences as Q
 from corpusloom.operators import statistics as ST
 from corpusloom.plans.models import _PRED, predictions
 from corpusloom.plans.sequences import repr_
 from corpusloom.queries import query
+from corpusloom.session import written
 from corpusloom.sources.tables import table
 
 
@@ -132,9 +135,15 @@ def s7_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH m AS (SELECT month, count(*)::BIGINT AS n, count(DISTINCT entity)::BIGINT AS entities, count(DISTINCT r_name)::BIGINT AS families, avg(level / 5.0::DOUBLE) * 100 AS score FROM {_ORD} GROUP BY 1)
-SELECT month, n, entities, families, concat_ws(',', CASE WHEN n < 180 THEN 'LOW_SAMPLE_SIZE' END, CASE WHEN entities < 150 THEN 'LOW_ENTITY_COUNT' END, CASE WHEN families < 2 THEN 'LOW_SOURCE_COUNT' END) AS reasons,
-  CASE WHEN n >= 180 AND entities >= 150 AND families >= 2 THEN round(score, 4) END AS score FROM m""")
+WITH o AS (SELECT *, count(*) OVER (PARTITION BY month, r_name, c_mktsegment) AS docs FROM {_ORD}),
+m AS (SELECT month, count(*)::BIGINT AS n, count(DISTINCT entity)::BIGINT AS entities, count(DISTINCT c_mktsegment)::BIGINT AS grps, count(DISTINCT r_name)::BIGINT AS families, avg(level / 5.0::DOUBLE) * 100 AS score FROM o GROUP BY 1),
+a AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS every FROM orders GROUP BY 1),
+c AS (SELECT month, r_name, c_mktsegment FROM o GROUP BY ALL HAVING count(*) >= 20 AND count(DISTINCT entity) >= 10),
+w AS (SELECT month, round(sum(pi), 9) AS matched FROM c JOIN {_PI} USING (r_name, c_mktsegment) GROUP BY 1),
+g AS (SELECT a.month, every, coalesce(n, 0)::BIGINT AS n, coalesce(entities, 0)::BIGINT AS entities, coalesce(grps, 0) AS grps, coalesce(families, 0)::BIGINT AS families, coalesce(matched, 0) AS matched, score FROM a LEFT JOIN m USING (month) LEFT JOIN w USING (month)),
+r AS (SELECT *, concat_ws(',', CASE WHEN n < 500 THEN 'LOW_SAMPLE_SIZE' END, CASE WHEN entities < 50 THEN 'LOW_ENTITY_COUNT' END, CASE WHEN grps < 5 THEN 'LOW_GROUP_COUNT' END, CASE WHEN families < 2 THEN 'LOW_SOURCE_COUNT' END,
+  CASE WHEN n / every < 0.8 THEN 'LOW_RESOLUTION' END, CASE WHEN matched < 0.8 THEN 'LOW_MATCHED_WEIGHT' END) AS reasons FROM g)
+SELECT month, n, entities, families, reasons, CASE WHEN reasons = '' THEN round(score, 4) END AS score FROM r""")
 def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A suppressed month has no score; the gates that failed are listed. Groups are segments, families regions; weight is matched in cells with documents and entities enough."""
     o = _orders(spark, sf_dir)
@@ -171,8 +180,8 @@ WITH u AS {_TERMS}, p AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS p F
 SELECT source, round(0.5 * sum(p * log2(p / ((p + q) / 2))) + 0.5 * sum(q * log2(q / ((p + q) / 2))) + 0.5 * (1 - sum(q)), 6) AS jsd FROM p JOIN q USING (term) GROUP BY 1""")
 def s3_jsd_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's word distribution against that of all."""
-    words = F.transform(F.expr(SPARK.found(repr_, X.TOK_WORD)), lambda t: F.lower(t))
-    u = table(spark, sf_dir, "documents").select("source", F.explode(words).alias("term")).groupBy("source", "term").agg(F.count("*").cast("double").alias("n"))
+    words = Q.exploded(table(spark, sf_dir, "documents"), ("source",), F.split(Q.words(), "\n"), "term").filter("term <> ''")
+    u = words.groupBy("source", "term").agg(F.count("*").cast("double").alias("n"))
     return ST.jsd(u.withColumn("all", F.lit(1)), "source", "term", ["all"]).select("source", F.round("jsd", 6).alias("jsd"))
 
 
@@ -216,7 +225,8 @@ def s8_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("source", "clusters", "units", F.round(d, 6).alias("density"), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), d / 2 * 100)), 4).alias("score"))
 
 
-_S5 = f"(SELECT source, doc_id, regexp_matches(lower({repr_}), '\\b(the|und|les|los)\\b') AS hit, doc_id % 2 = 0 AS after FROM documents)"
+_HIT = r"\b(the|und|les|los)\b"
+_S5 = f"(SELECT source, doc_id, {DUCK.like(f'lower({T.plain(DUCK, repr_)})', _HIT)} AS hit, length({repr_}) >= 1000 AS after FROM documents)"
 
 
 @query(f"""
@@ -224,10 +234,10 @@ WITH s AS (SELECT source, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (after
 p AS (SELECT source, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (a) - avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) FILTER (NOT a) AS placebo FROM (SELECT *, ('0x' || substr(sha256('p:' || doc_id), 1, 8))::BIGINT % 2 = 0 AS a FROM {_S5}) GROUP BY 1)
 SELECT source, round(shift, 6) AS shift, round(placebo, 6) AS placebo, abs(shift) > 0.05 AND abs(shift) > abs(placebo) AS above_noise FROM s JOIN p USING (source)""")
 def s5_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shift in prevalence between two groups, against a placebo grouping by hash."""
-    hit = F.lower(F.coalesce("text", F.lit(""))).rlike(r"\b(the|und|les|los)\b").cast("int")
+    """Shift in prevalence between short and long documents, against a placebo grouping by hash."""
+    hit = F.expr(SPARK.like(f"lower({T.plain(SPARK, repr_)})", _HIT)).cast("int")
     placebo = F.conv(F.substring(F.sha2(F.concat(F.lit("p:"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("long") % 2 == 0
-    rows = table(spark, sf_dir, "documents").select("source", hit.alias("hit"), (F.col("doc_id") % 2 == 0).alias("after"), placebo.alias("a"))
+    rows = table(spark, sf_dir, "documents").select("source", hit.alias("hit"), (F.length(F.coalesce("text", F.lit(""))) >= 1000).alias("after"), placebo.alias("a"))
     diff = lambda c: F.avg(F.when(F.col(c), F.col("hit"))) - F.avg(F.when(~F.col(c), F.col("hit")))
     g = rows.groupBy("source").agg(diff("after").alias("shift"), diff("a").alias("placebo"))
     return g.select("source", *_r("shift", "placebo"), ((F.abs("shift") > 0.05) & (F.abs("shift") > F.abs("placebo"))).alias("above_noise"))
@@ -236,15 +246,18 @@ def s5_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENT = f"(SELECT r_name, entity, avg(level) AS value FROM {_ORD} GROUP BY ALL)"
 
 
+_WEIGHT, _DRAW = ST.replicate_weight("seed", "rep", "xor({0}, {1})")
+
+
 @query(f"""
-WITH e AS (SELECT *, count(*) OVER (PARTITION BY r_name) AS n, row_number() OVER (PARTITION BY r_name ORDER BY entity) - 1 AS i FROM {_ENT}),
-d AS (SELECT r_name, rep, ('0x' || substr(md5('v1:' || rep || ':' || r_name || ':' || i), 1, 8))::BIGINT % n AS i FROM e, range(1, 51) t(rep)),
-m AS (SELECT d.r_name, rep, avg(value) AS stat FROM d JOIN e ON e.r_name = d.r_name AND e.i = d.i GROUP BY ALL)
+WITH e AS (SELECT r_name, value, ('0x' || substr(md5('v1:' || r_name || ':' || entity), 1, 8))::BIGINT % 2147483648 AS seed FROM {_ENT}),
+d AS (SELECT *, {_WEIGHT} AS w FROM (SELECT r_name, value, rep, {_DRAW} AS u FROM e, range(1, 2001) t(rep))),
+m AS (SELECT r_name, rep, sum(value * w) / sum(w) AS stat FROM d GROUP BY ALL HAVING sum(w) > 0)
 SELECT r_name, round(quantile_cont(stat, 0.05), 6) AS low, round(quantile_cont(stat, 0.5), 6) AS mid, round(quantile_cont(stat, 0.95), 6) AS high FROM m GROUP BY 1""")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2,000 replicates: customers resampled within their region by hash, and the percentiles of the mean."""
+    """2,000 replicates: customers weighted within their region by hash, and the percentiles of the mean."""
     e = _orders(spark, sf_dir).groupBy("r_name", "entity").agg(F.avg("level").alias("value"))
-    m = ST.draws(e, 2000, ["r_name"], "v1").groupBy("r_name", "rep").agg(F.avg("value").alias("stat"))
+    m = ST.bootstrap(e, 2000, ["r_name"], "v1")
     return m.groupBy("r_name").agg(*(F.round(F.percentile("stat", q), 6).alias(n) for q, n in ((0.05, "low"), (0.5, "mid"), (0.95, "high"))))
 
 
@@ -304,8 +317,8 @@ def spearman_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranks(rows: DataFrame, c: str, name: str) -> DataFrame:
-    """Average ranks of the values of a column, by a two-level running sum."""
-    counts = rows.groupBy(c).agg(F.count("*").cast("double").alias("n")).repartitionByRange(c).withColumn("part", F.spark_partition_id()).persist()
+    """Average ranks of the values of a column, by a two-level running sum. The ranges are written, so that a lost executor can't move their bounds."""
+    counts = written(rows.groupBy(c).agg(F.count("*").cast("double").alias("n")).repartitionByRange(c).withColumn("part", F.spark_partition_id()), "ranks")
     base = counts.groupBy("part").agg(F.sum("n").alias("t"))
     base = base.withColumn("before", F.coalesce(F.sum("t").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))  # a row per partition
     inside = F.sum("n").over(W.partitionBy("part").orderBy(c))

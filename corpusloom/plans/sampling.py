@@ -52,14 +52,14 @@ n AS (SELECT count(*) FILTER (side) AS na, count(*) FILTER (NOT side) AS ne FROM
 c AS (SELECT CASE WHEN na > ne * 0.1 THEN greatest(1, floor(ne * 0.1)) ELSE na END AS ca, CASE WHEN ne > na / 0.1 THEN greatest(1, floor(na / 0.1)) ELSE ne END AS ce FROM n)
 SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY text_hash, doc_id) AS p FROM a) r, c WHERE p <= CASE WHEN side THEN ca ELSE ce END""")
 def source_ratio_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.source_ratio(labelled(spark, sf_dir), F.col("source").isin("src0", "src1", "src2"), 0.1).select("doc_id", "source")
+    return S.source_ratio(labelled(spark, sf_dir).drop("text", "lang"), F.col("source").isin("src0", "src1", "src2"), 0.1).select("doc_id", "source")
 
 
 @query(f"""
 WITH n AS (SELECT min(c) AS least FROM (SELECT label, count(*) AS c FROM {L} GROUP BY 1))
 SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY text_hash, doc_id) AS p FROM {L}) r, n WHERE p <= least""")
 def label_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.label_balance(labelled(spark, sf_dir)).select("doc_id", "label")
+    return S.label_balance(labelled(spark, sf_dir).select("doc_id", "label", "text_hash")).select("doc_id", "label")
 
 
 @query(f"""
@@ -67,14 +67,14 @@ WITH r AS (SELECT *, CASE WHEN p <= CASE WHEN label = 1 THEN 50 ELSE 50 END THEN
   FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY text_hash, doc_id) AS p FROM {L}))
 SELECT doc_id, label FROM r ORDER BY rest, text_hash, doc_id LIMIT 100""")
 def fixed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.fixed_sample(labelled(spark, sf_dir), 100).select("doc_id", "label")
+    return S.fixed_sample(labelled(spark, sf_dir).select("doc_id", "label", "text_hash"), 100).select("doc_id", "label")
 
 
 @query(f"""
 SELECT doc_id, lang, label, CASE WHEN p <= CASE WHEN n > 1 THEN greatest(1, round_even(n * 0.25, 0)) ELSE 0 END THEN 'test' ELSE 'train' END AS split
 FROM (SELECT *, count(*) OVER (PARTITION BY lang, label) AS n, row_number() OVER (PARTITION BY lang, label ORDER BY sha256(doc_id::VARCHAR), doc_id) AS p FROM {L})""")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir).withColumn("key_hash", F.sha2(F.col("doc_id").cast("string"), 256))
+    rows = labelled(spark, sf_dir).select("doc_id", "lang", "label", F.sha2(F.col("doc_id").cast("string"), 256).alias("key_hash"))
     return S.stratified_split(rows, ["lang", "label"], 0.25).select("doc_id", "lang", "label", "split")
 
 
@@ -110,9 +110,11 @@ def defensive_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH n AS (SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS k FROM {L})
 SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256(doc_id::VARCHAR || ':13'), doc_id) AS p FROM {L}) r, n WHERE p <= least(k, 30)""")
 def seeded_balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir).withColumn("key_hash", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":13")), 256))
+    """At most 30 of each label, and no more than the rarer has; a task passes on 30 of a label."""
+    rows = labelled(spark, sf_dir).select("doc_id", "label", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":13")), 256).alias("key_hash"))
     least = rows.agg(F.least(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).alias("k"))
-    return S.head_by_hash(rows.join(F.broadcast(least)), ["label"], F.least(F.col("k"), F.lit(30)), "key_hash").select("doc_id", "label")
+    place = F.row_number().over(W.partitionBy("label").orderBy("key_hash", "doc_id"))
+    return rows.withColumn("p", place).filter("p <= 30").join(F.broadcast(least)).filter("p <= k").select("doc_id", "label")
 
 
 @query(f"""

@@ -17,7 +17,9 @@ def streaming_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.date_format("period", "yyyy-MM-dd HH:mm").alias("period"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT count(*)::BIGINT AS n, count(DISTINCT k)::BIGINT AS keys FROM (SELECT DISTINCT sha256(user_id || ':' || event_type) AS k FROM events)")
+@query("SELECT count(*)::BIGINT AS n, count(DISTINCT k)::BIGINT AS keys FROM (SELECT DISTINCT sha256(user_id || ':' || event_type || ':' || strftime(ts, '%Y-%m-%d %H')) AS k FROM events)")
 def streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = E.stream(spark, sf_dir, "events").withColumn("k", F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), "event_type"), 256)).select("ts", "k")
-    return E.run(E.first_of_key(keyed, "k", "3650 days"), "keys").agg(F.count("*").alias("n"), F.count_distinct("k").alias("keys"))
+    """One event of a user and kind for each hour. The hour is part of the key, so state older than two hours goes."""
+    key = F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd HH")), 256)
+    keyed = E.stream(spark, sf_dir, "events").withColumn("k", key).select("ts", "k")
+    return E.run(E.first_of_key(keyed, "k", "2 hours"), "keys").agg(F.count("*").alias("n"), F.count_distinct("k").alias("keys"))
