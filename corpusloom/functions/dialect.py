@@ -102,4 +102,9 @@ class DuckDialect(Dialect):
         return f"list_distinct({xs})"
 
 
+def listed(expressions: dict[str, str]) -> str:
+    """A select list of named expressions."""
+    return ", ".join(f"{v} AS {k}" for k, v in expressions.items())
+
+
 SPARK, DUCK = SparkDialect(), DuckDialect()

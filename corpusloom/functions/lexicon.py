@@ -62,6 +62,24 @@ HEADINGS = (
     "abstract", "introduction", "background", "related work", "methods", "method", "methodology", "approach", "results", "discussion",
     "conclusion", "conclusions", "references", "appendix",
 )
+#: White space as Unicode has it, as the inside of a character class.
+SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+HEADING_NUMBER = r"^(?:[0-9]+(?:\.[0-9]+)*|[A-Z])\.? +"
+HEADING_CHARS, HEADING_WORDS, HEADING_LETTERS = 120, 14, 0.65
+CHUNK_LEAST_WORDS, CHUNK_TARGET, CHUNK_MOST, CHUNK_LARGEST, CHUNK_SHARE, CHUNK_LIMIT, CHUNK_RELIABLE = 40, 180, 320, 900, 0.58, 48, (80, 45)
+PARAGRAPH_GAP = rf"[{SPACE}]*\n[{SPACE}]*\n[{SPACE}]*"
+CONCEPT_LANES = {
+    "wordnet": "wordnet_pos_sequence wordnet_lexname_sequence wordnet_synset_sequence wordnet_category_sequence wordnet_synonym_match_sequence wordnet_antonym_match_sequence",
+    "wordnet_sumo": "wordnet_sumo_term_sequence wordnet_sumo_relation_sequence",
+    "sumo": "sumo_term_sequence sumo_class_sequence proposition_kind_sequence proposition_source_sequence unresolved_surface_sequence unresolved_type_sequence",
+}
+SEQUENCE_FIELDS = "sumo_term_sequence sumo_class_sequence proposition_kind_sequence proposition_source_sequence unresolved_surface_sequence unresolved_type_sequence"
+LEAKAGE = "source_is_ai_generated source_is_human_written"
+WORDNET_PREFIXES = (
+    "seq::wordnet_synset_sequence:: seq::wordnet_synonym_match_sequence:: seq::wordnet_lexname_sequence:: seq::wordnet_pos_sequence:: "
+    "seq::wordnet_category_sequence:: num::wordnet_"
+)
+SEMANTIC_MARKOV_PREFIXES = "markov::semantic:: seqng::semantic:: semantic::"
 PHRASES = {
     "market_change": ("rapidly evolving", "changing landscape", "fast-changing", "complexity", "market shift"),
     "org_need": ("organizations need", "businesses need", "teams need", "must adapt", "need agile"),

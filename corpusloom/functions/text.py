@@ -9,9 +9,13 @@ from corpusloom.functions import lexicon as X
 from corpusloom.functions.dialect import SPARK, Dialect
 
 
+#: Runs of white space, and of anything else, as Unicode has it.
+SOME_SPACE, SOME_TEXT = f"[{X.SPACE}]+", f"[^{X.SPACE}]+"
+
+
 def collapse(q: Dialect, x: str) -> str:
-    """Runs of white space to one blank, ends trimmed."""
-    return f"trim({q.sub(f'coalesce({x}, {q.lit(str())})', r'\s+', ' ')})"
+    """Runs of white space, that of Unicode, to one blank, ends trimmed."""
+    return f"trim({q.sub(f'coalesce({x}, {q.lit(str())})', SOME_SPACE, ' ')})"
 
 
 def plain(q: Dialect, x: str) -> str:
@@ -44,6 +48,27 @@ def ratio(q: Dialect, a: str, b: str) -> str:
     return f"({q.double(a)} / greatest(1, {b}))"
 
 
+#: The statistics of ``style``, in order.
+STYLE = (
+    "words", "unique_words", "chars", "letters", "sentences", "punct", "upper_tokens", "lower_tokens",
+    "avg_word_len", "lexical_diversity", "words_per_sentence", "punct_ratio", "alpha_ratio", "upper_ratio",
+)
+
+
+def style(q: Dialect, x: str, w: str) -> dict[str, str]:
+    """Fourteen statistics of a text x and its words w, by name."""
+    n, chars = q.size(w), f"length({x})"
+    unique, punct, alpha = q.size(q.unique(q.each(w, "t", "lower(t)"))), marks(q, x), letters(q, x)
+    upper, lower = q.size(q.where(w, "t", q.like("t", "^[A-Z]"))), q.size(q.where(w, "t", "t = lower(t)"))
+    total = f"coalesce({f'aggregate(transform({w}, t -> length(t)), 0, (a, v) -> a + v)' if q is SPARK else f'list_sum(list_transform({w}, lambda t: length(t)))'}, 0)"
+    sentences = f"greatest(1, {q.count(x, '[.!?]')})"
+    values = (
+        n, unique, chars, alpha, sentences, punct, upper, lower, ratio(q, total, n), ratio(q, unique, n), f"({q.double(n)} / {sentences})",
+        ratio(q, punct, chars), ratio(q, alpha, chars), ratio(q, upper, n),
+    )
+    return dict(zip(STYLE, values, strict=True))
+
+
 def flags_v1(q: Dialect, x: str, words: str) -> dict[str, str]:
     chars, n = f"length({x})", q.size(words)
     low = f"{q.size(q.where(q.upto(f'{n} - 1'), 'i', f'lower({q.at(words, 'i')}) = lower({q.at(words, 'i + 1')})'))}"

@@ -1,4 +1,8 @@
-"""Vocabularies, standardisation and the models that score sparse features in the long form."""
+"""Vocabularies, standardisation and the models that score sparse features in the long form.
+
+Vocabularies and weights are joined without a hint: adaptive execution broadcasts a side whose size it has
+measured, and shuffles beyond its threshold. Only single rows of totals are broadcast by hint.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def vocabulary(features: DataFrame, limit: int, least: int = 1) -> DataFrame:
@@ -17,7 +20,7 @@ def vocabulary(features: DataFrame, limit: int, least: int = 1) -> DataFrame:
 def moments(features: DataFrame, vocab: DataFrame, docs: DataFrame) -> DataFrame:
     """Mean and population deviation over all documents, absent values being zero; a deviation of 0 counts as 1."""
     n = docs.agg(F.count("*").alias("n"))
-    sums = features.join(F.broadcast(vocab), "feature").groupBy("feature", "df").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    sums = features.join(vocab, "feature").groupBy("feature", "df").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     mean = F.col("s") / F.col("n")
     std = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
     return sums.join(F.broadcast(n)).select("feature", "df", mean.alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("std"))
@@ -26,7 +29,7 @@ def moments(features: DataFrame, vocab: DataFrame, docs: DataFrame) -> DataFrame
 def linear_scores(docs: DataFrame, features: DataFrame, weights: DataFrame, bias: float) -> DataFrame:
     """Every feature of the model counts: absent ones give a constant, active ones add their difference to it."""
     base = weights.agg((F.lit(bias) - F.sum(F.col("mean") / F.col("std") * F.col("w"))).alias("base"))
-    delta = features.join(F.broadcast(weights), "feature").groupBy("doc_id").agg(F.sum(F.col("value") / F.col("std") * F.col("w")).alias("delta"), F.count("*").alias("active"))
+    delta = features.join(weights, "feature").groupBy("doc_id").agg(F.sum(F.col("value") / F.col("std") * F.col("w")).alias("delta"), F.count("*").alias("active"))
     raw = F.col("base") + F.coalesce("delta", F.lit(0.0))
     clamped = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), raw))
     return docs.join(delta, "doc_id", "left").join(F.broadcast(base)).select("doc_id", raw.alias("raw"), (1 / (1 + F.exp(-clamped))).alias("probability"), F.coalesce("active", F.lit(0)).alias("active"))
@@ -89,23 +92,25 @@ def lift_scores(docs: DataFrame, features: DataFrame, model: DataFrame) -> DataF
 
 
 def tree_scores(rows: DataFrame, model: dict) -> DataFrame:
-    """margin and probability from column ``x`` (array of double) by a boosted ensemble in its JSON layout.
+    """margin and probability from column ``x`` (an array of double, or a map from place to double) by a boosted ensemble in its JSON layout.
 
     Each tree becomes one nested CASE, which Spark compiles; leaves are read from ``base_weights``. A value that is
     absent or zero goes the default way, a value below the condition to the left.
     """
 
+    first = 0 if rows.schema["x"].dataType.typeName() == "map" else 1
+
     def node(tree: dict, k: int) -> Column:
         left, right = tree["left_children"][k], tree["right_children"][k]
         if left < 0:
             return F.lit(float(tree["base_weights"][k]))
-        value = F.try_element_at(F.col("x"), F.lit(int(tree["split_indices"][k]) + 1))
+        value = F.try_element_at(F.col("x"), F.lit(int(tree["split_indices"][k]) + first))
         missing = value.isNull() | (value == 0) | F.isnan(value)
         goes_left = F.when(missing, F.lit(bool(tree["default_left"][k]))).otherwise(value < float(tree["split_conditions"][k]))
         return F.when(goes_left, node(tree, left)).otherwise(node(tree, right))
 
     base = float(model["learner"]["learner_model_param"]["base_score"].strip("[]"))
-    base = min(1 - 1e-6, max(1e-6, base))
+    base = min(1 - 1e-9, max(1e-9, base))
     margin = F.lit(math.log(base / (1 - base)))
     for tree in model["trees"]:
         margin = margin + node(tree, 0)
@@ -135,7 +140,3 @@ def gradient_descent(rows: DataFrame, features: DataFrame, epochs: int, rate: fl
         bias -= rate * total / n
     kept.unpersist()
     return dict(sorted(weights.items())), bias
-
-
-def top_by(df: DataFrame, part: list[str], order: list, limit: int) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(W.partitionBy(*part).orderBy(*order))).filter(F.col("place") <= limit)

@@ -8,10 +8,10 @@ from pyspark.sql.window import Window as W
 
 from corpusloom.functions import lexicon as X
 from corpusloom.functions import text as T
-from corpusloom.functions.dialect import DUCK, SPARK, Dialect
+from corpusloom.functions.dialect import DUCK, SPARK, Dialect, listed
 from corpusloom.operators import chunking as C
 from corpusloom.plans.sequences import docs, repr_
-from corpusloom.plans.text import _split
+from corpusloom.plans.text import chosen
 from corpusloom.queries import query
 from corpusloom.sources.tables import table
 
@@ -23,126 +23,152 @@ def _sentences(q: Dialect, x: str) -> str:
     return q.where(cut, "s", "trim(s) <> ''")
 
 
-def _evidence(q: Dialect) -> str:
+def _spoken(q: Dialect) -> str:
+    """Documents with claims, evidence, anchors and phrases spoken before and after them, by doc_id: the tables' own prose has none."""
+    said = (
+        (3, 0, "Organizations need an AI platform, and agentic tools in a changing landscape. "), (4, 1, "Teams will see innovation and better outcomes in their workflow. "),
+        (5, 2, "According to a 2021 study by Acme Holdings, onboarding improved 12.5% in Q3 versus the baseline. "), (7, 3, "The company said it plans many important changes. It must grow. "),
+        (6, 4, "Customers of NASA and Jane Doe reported 3,400 cases on 4 March 2020, a source of evidence. "), (8, 5, "Some generic support may help various stakeholders through the process. "),
+    )
+    each = ", ".join(f"CASE WHEN doc_id % {m} = {r} THEN '{x}' ELSE '' END" for m, r, x in said)
+    return f"concat({each}, coalesce(text, ''))"
+
+
+SPOKEN = f"(SELECT doc_id, {_spoken(DUCK)} AS text, source FROM documents)"
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).withColumn("text", F.expr(_spoken(SPARK)))
+
+
+def _evidence(q: Dialect) -> dict[str, str]:
     text = T.plain(q, repr_)
     claims = q.size(q.where(_sentences(q, text), "s", q.like("s", X.CLAIM)))
     evidence = q.count(f"lower({text})", X.EVIDENCE)
     toks = q.found(f"lower({text})", "[a-z']+")
     abstract = q.size(q.where(toks, "w", f"w IN {q.words(X.ABSTRACT_TOKENS)}"))
     gap = f"CASE WHEN {claims} > 0 THEN greatest(0.0, ({q.double(claims)} - {evidence}) / greatest(1, {claims})) ELSE 0.0 END"
-    parts = {
-        "claim_evidence_gap": f"round({q.double(gap)}, 6)", "claim_sentences": f"cast({claims} AS bigint)", "evidence_markers": f"cast({evidence} AS bigint)",
+    return {
+        "doc_id": "doc_id", "claim_evidence_gap": f"round({q.double(gap)}, 6)", "claim_sentences": f"cast({claims} AS bigint)", "evidence_markers": f"cast({evidence} AS bigint)",
         "named_anchors": f"cast({q.count(text, X.NAMED_ANCHOR)} AS bigint)", "date_anchors": f"cast({q.count(text, X.DATE)} AS bigint)",
         "number_anchors": f"cast({q.count(text, X.NUMBER)} AS bigint)", "abstract_ratio": f"round({q.double(abstract)} / greatest(1, {q.size(toks)}), 6)",
     }
-    return "doc_id, " + ", ".join(f"{v} AS {k}" for k, v in parts.items())
 
 
-@query(f"SELECT {_evidence(DUCK)} FROM documents")
+@query(f"SELECT {listed(_evidence(DUCK))} FROM {SPOKEN}")
 def evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).selectExpr(*_split(_evidence(SPARK)))
-
-
-def evidence(rows: DataFrame) -> DataFrame:
-    return rows.selectExpr(*_split(_evidence(SPARK)))
+    return chosen(spoken(spark, sf_dir), _evidence(SPARK))
 
 
 @query(f"""
 SELECT source, count(*)::BIGINT AS n, round(avg(claim_evidence_gap), 6) AS mean_gap, min(evidence_markers) AS min_markers, max(number_anchors) AS max_numbers, count(*) FILTER (named_anchors >= 2 AND evidence_markers + date_anchors + number_anchors >= 1)::BIGINT AS anchored
-FROM (SELECT {_evidence(DUCK)} FROM documents) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1""")
+FROM (SELECT {listed(_evidence(DUCK))} FROM {SPOKEN}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1""")
 def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs(spark, sf_dir).selectExpr("source", *_split(_evidence(SPARK)))
+    rows = chosen(spoken(spark, sf_dir), {"source": "source"} | _evidence(SPARK))
     anchored = (F.col("named_anchors") >= 2) & (F.col("evidence_markers") + F.col("date_anchors") + F.col("number_anchors") >= 1)
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("claim_evidence_gap"), 6).alias("mean_gap"), F.min("evidence_markers").alias("min_markers"), F.max("number_anchors").alias("max_numbers"), F.count_if(anchored).alias("anchored"))
 
 
-_LINES = "(SELECT doc_id, i - 1 AS line, l[i] AS value FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))"
-_PAGE_LINES = r"(SELECT page_id AS doc_id, i - 1 AS line, l[i] AS value FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, string_split(regexp_replace(coalesce(html, ''), '<[^>]*>', chr(10), 'g'), chr(10)) AS l FROM pages)))"
+def _article(q: Dialect) -> str:
+    """Documents with headings, lines that only look like them, blank lines and paragraphs, by doc_id: the tables hold next to none."""
+    t, third = "coalesce(text, '')", f"(length(coalesce(text, '')) {'DIV' if q is SPARK else '//'} 3)"
+    cut = [f"substr({t}, 1, {third})", f"substr({t}, {third} + 1, {third})", f"substr({t}, 2 * {third} + 1)"]
+    broken = lambda x: f"replace({x}, '. ', concat('.', chr(10), chr(10)))"
+    line = lambda *xs: ", chr(10), ".join(xs)
+    shapes = [
+        broken(t),
+        f"concat({line("'Introduction'", broken(cut[0]), "''", "'2. Methods of Study'", broken(cut[1]), "'Discussion'", "'   '", broken(cut[2]))})",
+        f"concat({line("'Human notes'", "''", broken(cut[0]), "''", "'A. Results And Outlook'", "''", cut[1] + ", " + cut[2])})",
+        f"concat({line("'1.1 Only A Heading'", "'3 4 5'", "'B.  Another   Heading'", broken(t))})",
+    ]
+    return "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(shapes)) + " END"
 
 
-def _page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as texts: every tag ends a line."""
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "\n").alias("text"))
+ARTICLES = f"(SELECT doc_id, {_article(DUCK)} AS text FROM documents)"
+
 
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.expr(_article(SPARK)).alias("text"))
 
-@query(f"SELECT doc_id, count(*) FILTER (value <> '')::BIGINT AS lines, count(*) FILTER ({C.is_heading(DUCK, 'value')})::BIGINT AS headings FROM {_PAGE_LINES} GROUP BY 1")
+
+_PAGES = r"(SELECT page_id AS doc_id, concat(CASE WHEN page_id % 3 = 0 THEN concat('Abstract', chr(10)) ELSE '' END, regexp_replace(coalesce(html, ''), '<[^>]*>', chr(10), 'g')) AS text FROM pages)"
+
+
+def _page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as texts: every tag ends a line. A third begin with a heading, as the table has none."""
+    head = F.when(F.col("page_id") % 3 == 0, "Abstract\n").otherwise("")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(head, F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "\n")).alias("text"))
+
+
+def _paragraphs_sql(source: str) -> str:
+    """Table expressions up to p, the paragraphs."""
+    return f"""
+a AS (SELECT doc_id, {C.normalised(DUCK, 'text')} AS whole FROM {source} x),
+l0 AS (SELECT doc_id, unnest(l) AS value, unnest(range(0, len(l))) AS line FROM (SELECT doc_id, string_split(whole, chr(10)) AS l FROM a)),
+l1 AS (SELECT *, {C.is_heading(DUCK, 'value')} AS h0, {C.words(DUCK, 'value')} AS words, length(value) AS n,
+  length(value) - length(regexp_replace(value, '^{T.SOME_SPACE}', '')) AS lead, length(regexp_replace(value, '{T.SOME_SPACE}$', '')) AS used FROM l0),
+l2 AS (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(words) OVER (PARTITION BY doc_id) AS total,
+  count(*) FILTER (NOT h0 AND words > 0) OVER (PARTITION BY doc_id) AS body FROM l1),
+l3 AS (SELECT *, h0 AND body > 0 AS h FROM l2),
+l4 AS (SELECT *, count(*) FILTER (h) OVER w AS section, count(*) FILTER (h OR words = 0) OVER w AS run,
+  CASE WHEN body = 0 THEN 'document' ELSE coalesce(last_value(CASE WHEN h THEN {T.collapse(DUCK, 'value')} END IGNORE NULLS) OVER w, 'front matter') END AS name
+  FROM l3 WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING)),
+pp AS (SELECT doc_id, run, min(section) AS section, min(name) AS heading, min(start + lead)::BIGINT AS char_start, max(start + used)::BIGINT AS char_end, sum(words)::BIGINT AS words, min(total) AS total
+  FROM l4 WHERE NOT h AND words > 0 GROUP BY doc_id, run),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY char_start) AS paragraph FROM pp)"""
+
+
+@query(f"SELECT doc_id, count(*) FILTER (value <> '')::BIGINT AS lines, count(*) FILTER ({C.is_heading(DUCK, 'value')})::BIGINT AS headings FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM {ARTICLES}) GROUP BY 1")
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _page_text(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
+    rows = articles(spark, sf_dir).select("doc_id", F.explode_outer(F.split("text", "\n")).alias("value"))
     return rows.groupBy("doc_id").agg(F.count_if(F.col("value") != "").alias("lines"), F.count_if(F.expr(C.is_heading(SPARK, "value"))).alias("headings"))
 
 
-_SECTIONS = f"""
-WITH l AS (SELECT *, coalesce(sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, {C.is_heading(DUCK, 'value')} AS h FROM {{0}}),
-s AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM l),
-g AS (SELECT doc_id, section, max(CASE WHEN h THEN {C.heading_body(DUCK, 'value')} END) AS heading, min(start) FILTER (NOT h) AS char_start, max(start + length(value)) FILTER (NOT h) AS char_end,
-  sum(CASE WHEN h THEN 0 ELSE {DUCK.count('value', r'[^\s]+')} END) AS words FROM s GROUP BY ALL)
-SELECT doc_id, section::BIGINT AS section, coalesce(heading, 'document') AS heading, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, words::BIGINT AS words FROM g WHERE words > 0"""
+_SECTIONS = "SELECT doc_id, section::BIGINT AS section, min(heading) AS heading, min(char_start) AS char_start, max(char_end) AS char_end, sum(words)::BIGINT AS words FROM p GROUP BY ALL"
 
 
-@query(_SECTIONS.replace("{0}", _LINES))
+@query(f"WITH {_paragraphs_sql(ARTICLES)} {_SECTIONS}")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.sections(docs(spark, sf_dir))
+    return C.sections(articles(spark, sf_dir))
 
 
-@query(_SECTIONS.replace("{0}", _PAGE_LINES))
+@query(f"WITH {_paragraphs_sql(_PAGES)} {_SECTIONS}")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sections(_page_text(spark, sf_dir))
 
 
-@query(f"""
-WITH l AS (SELECT *, coalesce(sum(length(value) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {_LINES})
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1)::BIGINT AS paragraph, start::BIGINT AS char_start, (start + length(value))::BIGINT AS char_end, len(regexp_extract_all(value, '[^\\s]+'))::BIGINT AS words
-FROM l WHERE regexp_matches(value, '[^\\s]')""")
+@query(f"WITH {_paragraphs_sql(ARTICLES)} SELECT doc_id, paragraph, heading, char_start, char_end, words FROM p")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.lines(docs(spark, sf_dir)).filter(F.col("value").rlike(r"[^\s]"))
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("line")) - 1
-    return rows.select("doc_id", place.cast("long").alias("paragraph"), F.col("start").cast("long").alias("char_start"), (F.col("start") + F.length("value")).cast("long").alias("char_end"), F.regexp_count("value", F.lit(r"[^\s]+")).cast("long").alias("words"))
+    """Runs of lines with text, cut at blank lines and headings, with their section's name."""
+    return C.paragraphs(articles(spark, sf_dir)).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "heading", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "words")
 
 
-_CHUNKS = r"""(WITH RECURSIVE p AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\s]')), lambda x: len(regexp_extract_all(x, '[^\s]+'))) AS sizes FROM documents),
-t AS (SELECT doc_id, sizes, list_sum(sizes) AS total FROM p WHERE list_sum(sizes) >= 40),
-m AS (SELECT *, least(900, greatest(320, ceil(total / 48)))::INT AS most FROM t),
-g AS (SELECT *, least(most, greatest(180, ceil(most * 0.58)))::INT AS target FROM m),
-r AS (SELECT doc_id, sizes, most, target, 1 AS i, 0::BIGINT AS buf, 0 AS n, 1 AS first, []::STRUCT(first INT, last INT, words BIGINT, kind VARCHAR)[] AS out FROM g
+_CHUNKS = f"""(WITH RECURSIVE {_paragraphs_sql(ARTICLES)},
+d AS (SELECT doc_id, min(total) AS total, list(words ORDER BY paragraph) AS ws, list(section ORDER BY paragraph) AS ss FROM p GROUP BY 1),
+m AS (SELECT *, least(900, greatest(320, ceil(total / 48)))::BIGINT AS most FROM d WHERE total >= 40),
+g AS (SELECT *, least(most, greatest(180, ceil(most * 0.58)))::BIGINT AS target FROM m),
+r AS (SELECT doc_id, ws, ss, most, target, 1 AS i, 0::BIGINT AS buf, 0 AS n, 1 AS first, []::STRUCT(first INT, last INT, words BIGINT, kind VARCHAR, piece INT)[] AS out FROM g
   UNION ALL
-  SELECT doc_id, sizes, most, target, i + 1,
-    CASE WHEN i > len(sizes) OR w >= most THEN 0 WHEN (CASE WHEN over THEN w ELSE buf + w END) >= target THEN 0 WHEN over THEN w ELSE buf + w END,
-    CASE WHEN i > len(sizes) OR w >= most THEN 0 WHEN (CASE WHEN over THEN w ELSE buf + w END) >= target THEN 0 WHEN over THEN 1 ELSE n + 1 END,
-    CASE WHEN w >= most OR (CASE WHEN over THEN w ELSE buf + w END) >= target THEN i + 1 WHEN over OR n = 0 THEN i ELSE first END,
-    list_concat(out, CASE WHEN n > 0 AND (i > len(sizes) OR w >= most OR over) THEN [{'first': first, 'last': i - 1, 'words': buf, 'kind': CASE WHEN i - 1 > first THEN 'paragraph_merge' ELSE 'paragraph' END}] ELSE [] END,
-      CASE WHEN i > len(sizes) THEN [] WHEN w >= most THEN list_transform(range(0, ceil(w / most)::INT), lambda k: {'first': i, 'last': i, 'words': least(most, w - k * most), 'kind': 'long_paragraph_split'})
-        WHEN (CASE WHEN over THEN w ELSE buf + w END) >= target THEN [{'first': CASE WHEN over OR n = 0 THEN i ELSE first END, 'last': i, 'words': CASE WHEN over THEN w ELSE buf + w END, 'kind': CASE WHEN NOT over AND n > 0 AND i > first THEN 'paragraph_merge' ELSE 'paragraph' END}] ELSE [] END)
-  FROM (SELECT *, coalesce(sizes[i], 0) AS w, n > 0 AND buf + coalesce(sizes[i], 0) > most AS over FROM r WHERE i <= len(sizes) + 1)),
-o AS (SELECT doc_id, out FROM r WHERE i = len(sizes) + 2)
-SELECT doc_id, (k - 1)::BIGINT AS chunk_index, len(out)::BIGINT AS chunk_total, (out[k]).first::BIGINT - 1 AS first_par, (out[k]).last::BIGINT - 1 AS last_par, (out[k]).words::BIGINT AS words, (out[k]).kind AS kind
-FROM (SELECT *, unnest(range(1, least(48, len(out)) + 1)) AS k FROM o))"""
-
-
-@query(f"SELECT * FROM {_CHUNKS}")
+  SELECT doc_id, ws, ss, most, target, i + 1, CASE WHEN shut THEN 0 ELSE nbuf END, CASE WHEN shut THEN 0 WHEN fresh THEN 1 ELSE n + 1 END, CASE WHEN shut THEN i + 1 ELSE nfirst END,
+    list_concat(out, CASE WHEN n > 0 AND (i > len(ws) OR w >= most OR over) THEN [{{'first': first, 'last': i - 1, 'words': buf, 'kind': CASE WHEN i - 1 > first THEN 'paragraph_merge' ELSE 'paragraph' END, 'piece': 0}}] ELSE [] END,
+      CASE WHEN i > len(ws) THEN [] WHEN w >= most THEN list_transform(range(0, ceil(w / most)::INT), lambda k: {{'first': i, 'last': i, 'words': least(most, w - k * most), 'kind': 'long_paragraph_split', 'piece': k}})
+        WHEN nbuf >= target THEN [{{'first': nfirst, 'last': i, 'words': nbuf, 'kind': CASE WHEN i > nfirst THEN 'paragraph_merge' ELSE 'paragraph' END, 'piece': 0}}] ELSE [] END)
+  FROM (SELECT *, CASE WHEN fresh THEN w ELSE buf + w END AS nbuf, CASE WHEN fresh THEN i ELSE first END AS nfirst, i > len(ws) OR w >= most OR CASE WHEN fresh THEN w ELSE buf + w END >= target AS shut
+    FROM (SELECT *, over OR n = 0 AS fresh FROM (SELECT *, coalesce(ws[i], 0) AS w, n > 0 AND i <= len(ws) AND (buf + ws[i] > most OR ss[i] <> ss[i - 1]) AS over FROM r WHERE i <= len(ws) + 1)))),
+o AS (SELECT doc_id, out, most FROM r WHERE i = len(ws) + 2),
+c AS (SELECT doc_id, most, k::BIGINT AS chunk_index, len(out)::BIGINT AS chunk_total, out[k] AS c FROM (SELECT *, unnest(range(1, least(48, len(out)) + 1)) AS k FROM o)),
+t AS (SELECT c.*, x.heading, x.char_start, y.char_end, substr(whole, x.char_start + 1, y.char_end - x.char_start) AS body FROM c JOIN p x ON x.doc_id = c.doc_id AND x.paragraph = c.c.first JOIN p y ON y.doc_id = c.doc_id AND y.paragraph = c.c.last JOIN a ON a.doc_id = c.doc_id),
+u AS (SELECT *, CASE WHEN c.kind = 'long_paragraph_split' THEN regexp_extract_all(body, '(?:{T.SOME_TEXT}[{X.SPACE}]*){{1,' || most || '}}') END AS pieces FROM t),
+v AS (SELECT *, CASE WHEN pieces IS NOT NULL THEN char_start + coalesce(list_sum(list_transform(pieces[1:c.piece], lambda x: length(x))), 0) ELSE char_start END AS begins,
+  CASE WHEN pieces IS NOT NULL THEN regexp_replace(pieces[c.piece + 1], '{T.SOME_SPACE}$', '') ELSE regexp_replace(body, '{X.PARAGRAPH_GAP}', chr(10) || chr(10), 'g') END AS text FROM u)
+SELECT doc_id, chunk_index, chunk_total, c.kind AS kind, heading, c.first::BIGINT AS paragraph_start, c.last::BIGINT AS paragraph_end, begins::BIGINT AS char_start,
+  CASE WHEN pieces IS NOT NULL THEN begins + length(text) ELSE char_end END::BIGINT AS char_end, c.words::BIGINT AS words, CASE WHEN c.words >= 80 THEN 'high' WHEN c.words >= 45 THEN 'medium' ELSE 'low' END AS reliability, text FROM v)"""
+
+
+@query(f"SELECT * EXCLUDE (text), sha256(text) AS text_hash FROM {_CHUNKS}")
 def chunks_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunks(docs(spark, sf_dir), "\n")
-
-
-_MIXED = f"""(SELECT doc_id, chunk_index, words, round(0.25 + (words * 7 + chunk_index * 13) % 50 / 100.0::DOUBLE, 6) AS p FROM {_CHUNKS})"""
-
-
-@query(f"""
-WITH c AS (SELECT *, p >= 0.5 AS ai, lag(p >= 0.5) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS before FROM {_MIXED}),
-s AS (SELECT doc_id, count(*)::BIGINT AS chunks, count(*) FILTER (ai)::BIGINT AS ai_chunks, round(sum(CASE WHEN ai THEN words ELSE 0 END) / sum(words), 6) AS ai_share, round(sum(p * words) / sum(words) + 1e-9, 5) AS weighted,
-  round(max(p) * 100)::INT - round(min(p) * 100)::INT AS contrast, count(*) FILTER (ai <> before)::BIGINT AS transitions FROM c GROUP BY 1)
-SELECT *, CASE WHEN ai_chunks > 0 AND ai_chunks < chunks AND contrast >= 25 AND ai_share BETWEEN 0.15 AND 0.85 THEN 'mixed' WHEN ai_share >= 0.75 THEN 'mostly_ai' WHEN ai_share <= 0.25 THEN 'mostly_human' ELSE 'uncertain' END AS verdict FROM s""")
-def mixed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with a stand-in probability, summed up per document by share of words, contrast and label changes."""
-    p = F.round(0.25 + (F.col("words") * 7 + F.col("chunk_index") * 13) % 50 / F.lit(100.0), 6)
-    c = C.chunks(docs(spark, sf_dir), "\n").select("doc_id", "chunk_index", "words", p.alias("p")).withColumn("ai", F.col("p") >= 0.5)
-    c = c.withColumn("before", F.lag("ai").over(W.partitionBy("doc_id").orderBy("chunk_index")))
-    s = c.groupBy("doc_id").agg(
-        F.count("*").alias("chunks"), F.count_if("ai").alias("ai_chunks"), F.round(F.sum(F.when(F.col("ai"), F.col("words")).otherwise(0)) / F.sum("words"), 6).alias("ai_share"),
-        F.round(F.sum(F.col("p") * F.col("words")) / F.sum("words") + 1e-9, 5).alias("weighted"), (F.round(F.max("p") * 100).cast("int") - F.round(F.min("p") * 100).cast("int")).alias("contrast"),
-        F.count_if(F.col("ai") != F.col("before")).alias("transitions"),
-    )
-    both = (F.col("ai_chunks") > 0) & (F.col("ai_chunks") < F.col("chunks")) & (F.col("contrast") >= 25) & F.col("ai_share").between(0.15, 0.85)
-    return s.withColumn("verdict", F.when(both, "mixed").when(F.col("ai_share") >= 0.75, "mostly_ai").when(F.col("ai_share") <= 0.25, "mostly_human").otherwise("uncertain"))
+    """Chunks by section, with headings, paragraphs, offsets and reliability; the text by its hash."""
+    return C.chunks(articles(spark, sf_dir)).withColumn("text_hash", F.sha2("text", 256)).drop("text")
 
 
 @query("""
@@ -184,15 +210,14 @@ def _forms(q: Dialect) -> tuple[dict[str, str], dict[str, str]]:
 
 def _forms_sql() -> str:
     has, derived = _forms(DUCK)
-    listed = lambda d: ", ".join(f"{v} AS {k}" for k, v in d.items())
-    return f"SELECT doc_id, {listed(derived)} FROM (SELECT doc_id, {listed(has)} FROM documents)"
+    return f"SELECT doc_id, {listed(derived)} FROM (SELECT doc_id, {listed(has)} FROM {SPOKEN})"
 
 
 @query(_forms_sql())
 def phrase_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts, logic, propositions, missing bindings and groundings by families of phrases."""
     has, derived = _forms(SPARK)
-    flags = docs(spark, sf_dir).select("doc_id", *(F.expr(v).alias(k) for k, v in has.items()))
+    flags = spoken(spark, sf_dir).select("doc_id", *(F.expr(v).alias(k) for k, v in has.items()))
     return flags.select("doc_id", *(F.expr(v).alias(k) for k, v in derived.items()))
 
 

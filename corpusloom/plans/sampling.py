@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from corpusloom.functions import text as T
 from corpusloom.functions.dialect import DUCK
 from corpusloom.operators import sampling as S
-from corpusloom.plans.text import V, hashed, validated
+from corpusloom.plans.text import V, hashed, marked, validated
 from corpusloom.queries import query
 from corpusloom.sources.tables import table
 
@@ -124,7 +124,6 @@ s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY te
 SELECT label, CASE WHEN {B} < 0.25 THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS n, sum(word_count)::BIGINT AS words FROM s GROUP BY ALL""")
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The build end to end: validate, deduplicate, balance, split by the same hash order."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    accepted = validated(docs).filter("reasons = ''").select("doc_id", "text_hash", "word_count").join(labels, "doc_id")
+    accepted = validated(marked(spark, sf_dir)).filter("reasons = ''").select("doc_id", "text_hash", "word_count").join(labels, "doc_id")
     return S.hash_split(S.label_balance(accepted), 0.25).groupBy("label", "split").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"))
