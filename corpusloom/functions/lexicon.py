@@ -68,6 +68,14 @@ HEADING_NUMBER = r"^(?:[0-9]+(?:\.[0-9]+)*|[A-Z])\.? +"
 HEADING_CHARS, HEADING_WORDS, HEADING_LETTERS = 120, 14, 0.65
 CHUNK_LEAST_WORDS, CHUNK_TARGET, CHUNK_MOST, CHUNK_LARGEST, CHUNK_SHARE, CHUNK_LIMIT, CHUNK_RELIABLE = 40, 180, 320, 900, 0.58, 48, (80, 45)
 PARAGRAPH_GAP = rf"[{SPACE}]*\n[{SPACE}]*\n[{SPACE}]*"
+AI_TEXT_LABELS = "ai machine generated 1"
+AI_LABELS = "ai ai_generated generated 1"
+HUMAN_LABELS = "human human_written 0"
+LABEL_ONE = "1 true ai_generated ai generated"
+LABEL_ZERO = "0 false human_written human humanonly human-authored humanwritten"
+NUMERIC = r"[0-9]+(?:\.[0-9]+)?%?"
+PROBE_TYPES = "news_article legal_news annual_report sec_filing"
+LATER_FORMS = "metric specific_workflow specific_audience baseline timeframe evidence_source audience_boundary"
 CONCEPT_LANES = {
     "wordnet": "wordnet_pos_sequence wordnet_lexname_sequence wordnet_synset_sequence wordnet_category_sequence wordnet_synonym_match_sequence wordnet_antonym_match_sequence",
     "wordnet_sumo": "wordnet_sumo_term_sequence wordnet_sumo_relation_sequence",

@@ -325,51 +325,6 @@ def _ranks(rows: DataFrame, c: str, name: str) -> DataFrame:
     return counts.withColumn("upto", inside).join(F.broadcast(base), "part").select(c, (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias(name))
 
 
-# Contract fixtures: id, payload fields that the rules look at, and what is expected.
-_FIX = [
-    ("ok", "S1", 53.0, 43.0, 10.0, 0.8, 40.0, 60.0, "released", True, "descriptive", None, 1.0, "LOW_COVERAGE", "2024-01-01", "2024-01-31"),
-    ("unknown_warning", "S2", 54.0, 44.0, 10.0, 0.8, 40.0, 60.0, "released", True, "descriptive", None, 1.0, "NOT_A_CODE", "2024-01-01", "2024-01-31"),
-    ("invalid_period", "S3", 55.0, 45.0, 10.0, 0.8, 40.0, 60.0, "released", True, "descriptive", None, 1.0, None, "2024-02-01", "2024-01-31"),
-    ("invalid_confidence", "S4", 56.0, 46.0, 10.0, 1.5, 40.0, 60.0, "released", True, "descriptive", None, 1.0, None, "2024-01-01", "2024-01-31"),
-    ("invalid_uncertainty", "S5", 57.0, 47.0, 10.0, 0.8, 80.0, 20.0, "released", True, "descriptive", None, 1.0, None, "2024-01-01", "2024-01-31"),
-    ("suppressed_non_null", "S6", 50.0, 48.0, 2.0, 0.8, 40.0, 60.0, "suppressed", True, "descriptive", None, 1.0, None, "2024-01-01", "2024-01-31"),
-    ("incomplete_coverage", "S7", 59.0, 49.0, 10.0, 0.8, 40.0, 60.0, "released", False, "descriptive", None, 1.0, None, "2024-01-01", "2024-01-31"),
-    ("arithmetic_mismatch", "S8", 61.0, 50.0, 10.0, 0.8, 40.0, 70.0, "released", True, "descriptive", None, 1.0, None, "2024-01-01", "2024-01-31"),
-    ("causal_class", "S1", 53.0, 43.0, 10.0, 0.8, 40.0, 60.0, "released", True, "causal_estimate", "study-1", 1.0, None, "2024-01-01", "2024-01-31"),
-    ("weights", "S2", 54.0, 44.0, 10.0, 0.8, 40.0, 60.0, "released", True, "descriptive", None, 0.9, None, "2024-01-01", "2024-01-31"),
-    ("study_release", "S3", 55.0, 45.0, 10.0, 0.8, 40.0, 60.0, "released", True, "exposure_association", None, 1.0, None, "2024-01-01", "2024-01-31"),
-    ("composite", "ALL", 55.0, 45.0, 10.0, 0.8, 40.0, 60.0, "released", True, "descriptive", None, 1.0, None, "2024-01-01", "2024-01-31"),
-]
-_FIX_COLUMNS = ["fixture", "score_id", "score", "baseline", "absolute", "confidence", "low", "high", "state", "complete", "evidence", "study", "weights", "warning", "start_date", "end_date"]
-_WARNINGS = ["LOW_COVERAGE", "LOW_SAMPLE_SIZE", "VERSION_BREAK"]
-
-
-def _values() -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE"
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in _FIX) + f") v({', '.join(_FIX_COLUMNS)}))"
-
-
-_RULES = [
-    ("schema_error", "score_id NOT IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8') OR confidence < 0 OR confidence > 1 OR (state = 'suppressed' AND score IS NOT NULL) OR (state = 'released' AND NOT complete)"),
-    ("unknown_warning", "warning IS NOT NULL AND known IS NULL"),
-    ("invalid_period", "start_date > end_date"),
-    ("invalid_uncertainty", "low > high"),
-    ("arithmetic_mismatch", "abs(score - baseline - absolute) > 1e-9"),
-    ("unsupported_evidence_class", "evidence = 'causal_estimate'"),
-    ("component_weight_mismatch", "abs(weights - 1) > 1e-9"),
-    ("study_release_required", "evidence IN ('exposure_association', 'causal_estimate') AND study IS NULL"),
-]
-_CODES = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULES) + ")"
-
-
-@query(f"SELECT fixture, {_CODES} AS violations FROM {_values()} LEFT JOIN (SELECT unnest({_WARNINGS}) AS known) k ON warning = known")
-def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structural and semantic rules as one column of codes; registries are joined."""
-    kinds = "fixture string, score_id string, score double, baseline double, absolute double, confidence double, low double, high double, state string, complete boolean, evidence string, study string, weights double, warning string, start_date string, end_date string"
-    rows, known = spark.createDataFrame(_FIX, kinds), spark.createDataFrame([(w,) for w in _WARNINGS], "known string")
-    return rows.join(F.broadcast(known), F.col("warning") == F.col("known"), "left").select("fixture", F.expr(_CODES).alias("violations"))
-
-
 @query(f"""
 SELECT month, r_name, round(avg(level / 5.0::DOUBLE) * 100, 4) AS score, sha256(strftime(month, '%Y-%m-%d') || ':' || r_name) AS etag FROM {_ORD}
 GROUP BY ALL HAVING (month, r_name) > (DATE '1995-06-01', 'ASIA') ORDER BY month, r_name LIMIT 25""")
