@@ -67,6 +67,7 @@ SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 HEADING_NUMBER = r"^(?:[0-9]+(?:\.[0-9]+)*|[A-Z])\.? +"
 HEADING_CHARS, HEADING_WORDS, HEADING_LETTERS = 120, 14, 0.65
 CHUNK_LEAST_WORDS, CHUNK_TARGET, CHUNK_MOST, CHUNK_LARGEST, CHUNK_SHARE, CHUNK_LIMIT, CHUNK_RELIABLE = 40, 180, 320, 900, 0.58, 48, (80, 45)
+SECTION_LEAST_WORDS, CALIBRATION_LEAST, CALIBRATION_MOST = 80, 100, 320
 PARAGRAPH_GAP = rf"[{SPACE}]*\n[{SPACE}]*\n[{SPACE}]*"
 AI_TEXT_LABELS = "ai machine generated 1"
 AI_LABELS = "ai ai_generated generated 1"

@@ -83,10 +83,15 @@ def lift(features: DataFrame, labelled: DataFrame) -> DataFrame:
     return c.join(F.broadcast(n)).select("feature", "ai", "human", (((F.col("ai") + 1) / (F.col("n1") + 2)) / below).alias("lift"))
 
 
-def lift_scores(docs: DataFrame, features: DataFrame, model: DataFrame) -> DataFrame:
-    """50 plus bounded gains and losses of a document's distinct features, within 0 to 100. An unseen feature adds nothing."""
+def lift_scores(docs: DataFrame, features: DataFrame, model: DataFrame, groundings: DataFrame | None = None) -> DataFrame:
+    """50 plus bounded gains and losses of a document's distinct features, less 4 for each grounding (doc_id, groundings), within 0 to 100.
+
+    An unseen feature adds nothing.
+    """
     value = F.when(F.col("lift") > 1, F.least(F.lit(28.0), F.bround((F.col("lift") - 1) * 16))).when(F.col("lift") < 1, -F.least(F.lit(18.0), F.bround((1 - F.col("lift")) * 16))).otherwise(0.0)
     sums = features.join(model, "feature").groupBy("doc_id").agg(F.sum(value).alias("v"))
+    if groundings is not None:
+        sums = sums.join(groundings, "doc_id", "full").select("doc_id", (F.coalesce("v", F.lit(0.0)) - 4 * F.coalesce("groundings", F.lit(0))).alias("v"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + F.coalesce("v", F.lit(0.0)))).cast("int")
     return docs.join(sums, "doc_id", "left").select("doc_id", score.alias("score")).withColumn("band", F.when(F.col("score") >= 80, "high").when(F.col("score") >= 55, "medium").otherwise("low"))
 

@@ -171,6 +171,34 @@ def chunks_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunks(articles(spark, sf_dir)).withColumn("text_hash", F.sha2("text", 256)).drop("text")
 
 
+_GROUPS = f"""
+z AS (SELECT doc_id, section, sum(words) AS body, min(heading) AS own, min(paragraph) AS opens FROM p GROUP BY ALL),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section) = 1 OR lower(own) = 'references' OR body >= 80 AS begins FROM z),
+x AS (SELECT *, count(*) FILTER (begins) OVER w AS grp, last_value(CASE WHEN begins THEN own END IGNORE NULLS) OVER w AS heading FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY section ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT p.doc_id, grp, x.heading, paragraph, words + CASE WHEN NOT begins AND paragraph = opens THEN {C.words(DUCK, 'own')} ELSE 0 END AS words FROM p JOIN x ON x.doc_id = p.doc_id AND x.section = p.section)"""
+
+
+@query(f"WITH {_paragraphs_sql(ARTICLES)},{_GROUPS} SELECT doc_id, grp::BIGINT AS section, min(heading) AS heading, count(*)::BIGINT AS paragraphs, sum(words)::BIGINT AS words FROM q GROUP BY doc_id, grp")
+def calibration_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections for calibration: short ones join the one before."""
+    got = C.calibration_sections(articles(spark, sf_dir)).groupBy("doc_id", "group").agg(F.min("group_heading").alias("heading"), F.count("*").alias("paragraphs"), F.sum("words").cast("long").alias("words"))
+    return got.withColumnRenamed("group", "section")
+
+
+@query(f"""WITH RECURSIVE {_paragraphs_sql(ARTICLES)},{_GROUPS},
+d AS (SELECT doc_id, list(words ORDER BY paragraph) AS ws, list(grp ORDER BY paragraph) AS gs, list(heading ORDER BY paragraph) AS hs,
+  list(CASE WHEN heading IN ('front matter', 'document') THEN 0 ELSE {C.words(DUCK, 'heading')} END ORDER BY paragraph) AS heads FROM q GROUP BY 1),
+r AS (SELECT doc_id, ws, gs, hs, heads, 1 AS i, 0::BIGINT AS buf, 0 AS n, []::STRUCT(words BIGINT, kind VARCHAR, heading VARCHAR)[] AS out FROM d
+  UNION ALL SELECT doc_id, ws, gs, hs, heads, i + 1, CASE WHEN i > len(ws) OR w >= 320 THEN 0 WHEN over OR n = 0 THEN w ELSE buf + w END, CASE WHEN i > len(ws) OR w >= 320 THEN 0 WHEN over OR n = 0 THEN 1 ELSE n + 1 END,
+    list_concat(out, CASE WHEN n > 0 AND (i > len(ws) OR w >= 320 OR over) THEN [{{'words': buf + heads[i - 1], 'kind': 'article_section_merge', 'heading': hs[i - 1]}}] ELSE [] END,
+      CASE WHEN i <= len(ws) AND w >= 320 THEN list_transform(range(0, ceil(w / 320)::INT), lambda k: {{'words': least(320, w - k * 320), 'kind': 'article_long_paragraph', 'heading': hs[i]}}) ELSE [] END)
+  FROM (SELECT *, coalesce(ws[i], 0) AS w, n > 0 AND i <= len(ws) AND (buf + ws[i] + n > 320 OR gs[i] <> gs[i - 1]) AS over FROM r WHERE i <= len(ws) + 1)),
+k AS (SELECT doc_id, list_filter(out, lambda c: c.words >= 100) AS out FROM r WHERE i = len(ws) + 2)
+SELECT doc_id, j::BIGINT AS chunk_index, len(out)::BIGINT AS chunk_total, (out[j]).heading AS heading, (out[j]).kind AS kind, (out[j]).words::BIGINT AS words FROM (SELECT *, unnest(range(1, len(out) + 1)) AS j FROM k)""")
+def calibration_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.calibration_chunks(articles(spark, sf_dir))
+
+
 @query("""
 WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 q AS (SELECT * FROM t WHERE role = 'user' AND next_role = 'assistant')
