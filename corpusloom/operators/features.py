@@ -212,3 +212,86 @@ def markov_views(vocabulary: Iterable[str], method: str, configured: Iterable[st
     if not any(f.startswith(("markov::", "seqng::", "semantic::")) for f in vocabulary):
         return ()
     return tuple(configured) or (CORE if "core_markov" in method else None)
+
+
+def _named(prefix: str, grams: Column, sep: str = "|") -> Column:
+    """An array of grams as structs of feature and value."""
+    return F.transform(grams, lambda x: F.struct(F.concat(F.lit(prefix), F.translate(x, ST.WAITS, sep)).alias("feature"), F.lit(1.0).alias("value")))
+
+
+def _one(name: str, value: Column) -> Column:
+    return F.array(F.struct(F.lit(name).alias("feature"), value.cast("double").alias("value")))
+
+
+def _summed(rows: DataFrame, every: Column) -> DataFrame:
+    found = rows.select("doc_id", F.explode_outer(every).alias("f")).filter("f is not null")
+    return found.groupBy("doc_id", "f.feature").agg(F.sum("f.value").alias("value"))
+
+
+def _size(joined: str) -> Column:
+    return F.when(F.col(joined) == "", 0).otherwise(F.length(joined) - F.length(F.replace(F.col(joined), F.lit(ST.WAITS))) + 1)
+
+
+_START = f"(?<![^{ST.WAITS}])"
+_END = f"(?![^{ST.WAITS}])"
+_ITEM = f"([^{ST.WAITS}]+)"
+
+
+def term_sequences(rows: DataFrame) -> DataFrame:
+    """rrf_term:: of the term sequence: 1- to 3-grams, pairs around one item, repeats, runs, and grams of the sequence without repeats."""
+    s = rows.select("doc_id", items(rows, "sumo_term_sequence").alias("s")).filter("s <> ''")
+    s = s.withColumn("c", F.regexp_replace("s", f"{_START}{_ITEM}(?:{ST.WAITS}\\1{_END})+", "$1"))
+    around = F.transform(_item_grams("s", 3), lambda x: F.struct(F.concat(F.lit("rrf_term::skip=1::"), F.split_part(x, F.lit(ST.WAITS), F.lit(1)), F.lit("|"), F.split_part(x, F.lit(ST.WAITS), F.lit(3))).alias("feature"), F.lit(1.0).alias("value")))
+    repeats = F.regexp_extract_all("s", F.lit(f"{_START}{_ITEM}(?={ST.WAITS}\\1{_END})"), F.lit(1))
+    runs = F.regexp_extract_all("s", F.lit(f"{_START}{_ITEM}(?:{ST.WAITS}\\1{_END})*"), F.lit(0))
+    length = lambda r: F.length(r) - F.length(F.replace(r, F.lit(ST.WAITS))) + 1
+    run = F.transform(runs, lambda r, i: F.struct(F.concat_ws("::", F.lit("rrf_term::collapse_run"), i.cast("string"), length(r).cast("string")).alias("feature"), length(r).cast("double").alias("value")))
+    every = F.concat(
+        *(_named(f"rrf_term::n={n}=", _item_grams("s", n)) for n in (1, 2, 3)), around, _named("rrf_term::adj_repeat::", repeats), _one("rrf_term::adj_repeat_count", F.size(repeats)),
+        _one("rrf_term::collapsed_len", _size("c")), run, *(_named(f"rrf_term_collapsed::n={n}=", _item_grams("c", n)) for n in (1, 2, 3)),
+    )
+    return _summed(s, every)
+
+
+def class_sequences(rows: DataFrame) -> DataFrame:
+    """rrf_class::, 1- to 3-grams of the class sequence."""
+    s = rows.select("doc_id", items(rows, "sumo_class_sequence").alias("s"))
+    return _summed(s, F.concat(*(_named(f"rrf_class::n={n}=", _item_grams("s", n)) for n in (1, 2, 3))))
+
+
+def aligned_sequences(rows: DataFrame) -> DataFrame:
+    """rrf_prop::, kinds and sources of propositions side by side: grams, transitions of each and of both, lengths."""
+    split = lambda c: F.filter(F.split(c, ST.WAITS), lambda x: x != "")
+    given = rows.select("doc_id", split(items(rows, "proposition_kind_sequence")).alias("k"), split(items(rows, "proposition_source_sequence")).alias("s"))
+    given = given.withColumns({"nk": F.size("k"), "ns": F.size("s")}).withColumn("n", F.least("nk", "ns")).filter("n > 0")
+    given = given.withColumns({"k": F.slice("k", 1, F.col("n")), "s": F.slice("s", 1, F.col("n"))})
+    given = given.withColumns({"both": F.array_join(F.zip_with("k", "s", lambda a, b: F.concat(a, F.lit("::"), b)), ST.WAITS), "k": F.array_join("k", ST.WAITS), "s": F.array_join("s", ST.WAITS)})
+    every = F.concat(
+        _one("rrf_prop::aligned_length", F.col("n")), *(_named(f"rrf_prop::aligned_n={n}=", _item_grams("both", n)) for n in (1, 2, 3)),
+        *(_named(f"rrf_prop::{name}_transition::", _item_grams(c, 2), "\x01") for name, c in (("kind", "k"), ("source", "s"), ("aligned", "both"))),
+        _one("rrf_prop::kind_len", F.col("nk")), _one("rrf_prop::source_len", F.col("ns")), _one("rrf_prop::alignment_delta", F.abs(F.col("nk") - F.col("ns"))),
+    )
+    return _summed(given, every).withColumn("feature", F.replace("feature", F.lit("\x01"), F.lit("::")))
+
+
+def presence_masks(rows: DataFrame, windows: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """rrf_meta::, which of four sequences still run at each place: 1- to 3-grams, and those within windows.
+
+    A window's number is its start divided by its width; starts overlap, so windows share numbers. Masks only ever
+    lose letters, but the count is made as it is defined, place by place.
+    """
+    fields = {"T": "sumo_term_sequence", "C": "sumo_class_sequence", "K": "proposition_kind_sequence", "S": "proposition_source_sequence"}
+    s = rows.select("doc_id", *(items(rows, f).alias(k) for k, f in fields.items())).select("doc_id", *(_size(k).alias(k) for k in fields))
+    s = s.withColumn("len", F.greatest(*fields)).filter("len > 0")
+    mask = lambda i: F.concat(*(F.when(i < F.col(k), k).otherwise("") for k in fields))
+    at = s.withColumn("g", F.transform(F.sequence(F.lit(0), F.col("len") - 1), mask))
+    # a place belongs to `width - n + 1 - ...` windows; explode the starts, so that a long sequence stays one row's worth of masks
+    seq = at.withColumn("joined", F.array_join("g", ST.WAITS))
+    whole = _summed(seq, F.concat(_one("rrf_meta::token_count", F.col("len")), *(_named(f"rrf_meta::seq_n={n}=", _item_grams("joined", n)) for n in (1, 2, 3))))
+    parts = [whole]
+    for w in windows:
+        chunk = seq.filter(F.col("len") >= w).select("doc_id", F.posexplode(_item_grams("joined", w)).alias("start", "win"))
+        every = F.concat(*(F.transform(_item_grams("win", n), lambda x: F.struct(F.translate(x, ST.WAITS, "|").alias("feature"), F.lit(1.0).alias("value"))) for n in (1, 2, 3) if n <= w))
+        per = chunk.select("doc_id", F.floor(F.col("start") / w).cast("string").alias("no"), F.explode(every).alias("f")).groupBy("doc_id", "no", "f.feature").agg(F.sum("f.value").alias("value"))
+        parts.append(per.select("doc_id", F.concat(F.lit(f"rrf_meta::window={w}::chunk="), "no", F.lit("="), "feature").alias("feature"), "value"))
+    return reduce(DataFrame.unionByName, parts)

@@ -20,3 +20,15 @@ def components(edges: DataFrame) -> DataFrame:
         if not new.filter("changed").head(1):
             return new.select("id", "component")
         labels = new.select("id", "component")
+
+
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """id of the roots (id) and of all that descends from them by edges (parent, child); a level a step, each written, cycles included."""
+    step, found = 0, written(roots.select("id").distinct(), "descendants")
+    fresh = found
+    while fresh.head(1):
+        step += 1
+        below = edges.join(fresh.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
+        fresh = written(below.join(found, "id", "left_anti"), f"descendants-{step}")
+        found = found.union(fresh)
+    return found

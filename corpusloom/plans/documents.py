@@ -185,7 +185,7 @@ def calibration_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("group", "section")
 
 
-@query(f"""WITH RECURSIVE {_paragraphs_sql(ARTICLES)},{_GROUPS},
+_CALIBRATION = f"""WITH RECURSIVE {_paragraphs_sql(ARTICLES)},{_GROUPS},
 d AS (SELECT doc_id, list(words ORDER BY paragraph) AS ws, list(grp ORDER BY paragraph) AS gs, list(heading ORDER BY paragraph) AS hs,
   list(CASE WHEN heading IN ('front matter', 'document') THEN 0 ELSE {C.words(DUCK, 'heading')} END ORDER BY paragraph) AS heads FROM q GROUP BY 1),
 r AS (SELECT doc_id, ws, gs, hs, heads, 1 AS i, 0::BIGINT AS buf, 0 AS n, []::STRUCT(words BIGINT, kind VARCHAR, heading VARCHAR)[] AS out FROM d
@@ -194,7 +194,10 @@ r AS (SELECT doc_id, ws, gs, hs, heads, 1 AS i, 0::BIGINT AS buf, 0 AS n, []::ST
       CASE WHEN i <= len(ws) AND w >= 320 THEN list_transform(range(0, ceil(w / 320)::INT), lambda k: {{'words': least(320, w - k * 320), 'kind': 'article_long_paragraph', 'heading': hs[i]}}) ELSE [] END)
   FROM (SELECT *, coalesce(ws[i], 0) AS w, n > 0 AND i <= len(ws) AND (buf + ws[i] + n > 320 OR gs[i] <> gs[i - 1]) AS over FROM r WHERE i <= len(ws) + 1)),
 k AS (SELECT doc_id, list_filter(out, lambda c: c.words >= 100) AS out FROM r WHERE i = len(ws) + 2)
-SELECT doc_id, j::BIGINT AS chunk_index, len(out)::BIGINT AS chunk_total, (out[j]).heading AS heading, (out[j]).kind AS kind, (out[j]).words::BIGINT AS words FROM (SELECT *, unnest(range(1, len(out) + 1)) AS j FROM k)""")
+SELECT doc_id, j::BIGINT AS chunk_index, len(out)::BIGINT AS chunk_total, (out[j]).heading AS heading, (out[j]).kind AS kind, (out[j]).words::BIGINT AS words FROM (SELECT *, unnest(range(1, len(out) + 1)) AS j FROM k)"""
+
+
+@query(_CALIBRATION)
 def calibration_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.calibration_chunks(articles(spark, sf_dir))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_PLANS = ("text", "sampling", "sequences", "models", "documents", "detector", "ingest", "forms", "observatory", "contract", "joins", "io", "stream")
+_PLANS = ("text", "sampling", "sequences", "models", "documents", "detector", "ingest", "forms", "fields", "observatory", "contract", "joins", "reports", "io", "stream")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
