@@ -1,7 +1,9 @@
-"""Sources and sinks: strict and lenient JSON lines, CSV, Parquet, text lines, mapping files, mirrors."""
+"""Sources and sinks: strict and lenient JSON lines, JSON documents, CSV, Parquet, text lines, mapping files, mirrors."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,20 +46,39 @@ def discover(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 
 def read_two_layouts(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """``*.csv`` in a folder and ``data/*.parquet`` below it, as one table."""
-    parts = [spark.read.schema(schema).csv(root, header=True, pathGlobFilter="*.csv", recursiveFileLookup=False)]
+    """``*.csv`` in a folder and ``data/*.parquet`` below it, as one table, with ``split``: the stem of a CSV file, of a Parquet file what stands before its first hyphen."""
+    name = F.col("_metadata.file_name")
+    got = spark.read.schema(schema).csv(root, header=True, multiLine=True, escape='"', pathGlobFilter="*.csv", recursiveFileLookup=False)
+    got = got.select("*", F.regexp_extract(name, r"^(.*)\.csv$", 1).alias("split"))
     if exists(spark, f"{root}/data"):
-        parts.append(spark.read.parquet(f"{root}/data"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+        below = spark.read.option("pathGlobFilter", "*.parquet").parquet(f"{root}/data")
+        got = got.unionByName(below.select("*", F.regexp_extract(name, r"^([^-]*)", 1).alias("split")), allowMissingColumns=True)
+    return got
+
+
+def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """One JSON document that may span lines, an array of objects giving a row each; a missing file is an empty table."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def write_pretty_json(df: DataFrame, path: str, limit: int = 1000) -> None:
+    """A small result as one indented JSON array, its keys in the order of the columns; more rows than ``limit`` are an error."""
+    rows = [r[0] for r in df.limit(limit + 1).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).collect()]
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows for one JSON document")
+    text = json.dumps([json.loads(r) for r in rows], indent=2, ensure_ascii=False)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Mapping lines ``offset8 ... pos ... &%Term<relation>``: (offset, pos) to (term, relation); a later line wins."""
+    """Mapping lines ``offset8 ... pos ... &%Term<relation>``: (offset, pos) to (term, relation); a later line of a file wins.
+
+    A file is read whole, as such files have a few megabytes, so the order of its lines is that of the file.
+    """
     pattern = r"^(\d{8}) \d\d ([nvars]) .*&%(\w+)([=+@\[\]:]+)"
-    got = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    got = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "value"))
     cut = got.select(*(F.regexp_extract("value", pattern, i).alias(c) for i, c in enumerate(("offset", "pos", "term", "relation"), 1)), "at").filter("offset <> ''")
     return cut.groupBy("offset", "pos").agg(F.max_by(F.struct("term", "relation"), "at").alias("m")).select("offset", "pos", "m.term", "m.relation")
 
@@ -83,8 +104,9 @@ def markdown_table(df: DataFrame, limit: int = 200) -> str:
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """Relative path and SHA-256 of each file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_replace("path", f"^.*?{path.rstrip('/').removeprefix('file:')}/", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="[!._]*").load(path)
+    top = path.rstrip("/").split("://")[-1].removeprefix("file:").lstrip("/")
+    return files.select(F.substring_index("path", f"{top}/", -1).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def mirror_drift(listed: DataFrame, found: DataFrame) -> DataFrame:
