@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,9 +11,14 @@ from corpusloom.functions import lexicon as X
 from corpusloom.functions import states as ST
 from corpusloom.functions.dialect import SPARK
 from corpusloom.operators import chunking as C
+from corpusloom.operators import contract as CT
+from corpusloom.operators import detector as D
+from corpusloom.operators import features as FE
 from corpusloom.operators import graphs, sampling
 from corpusloom.operators import models as MO
 from corpusloom.operators import sequences as Q
+from corpusloom.operators.ordinals import numbered
+from corpusloom.plans.contract import fixtures
 from corpusloom.sources import tables as IO
 
 TOKENS = ["for", "can", "ABC", "$", "12%", "—", "Running", "nation", "never", "system", "quickly", "api"]
@@ -41,7 +48,7 @@ def test_chains_of_replacements_follow_the_rules(spark, view) -> None:
     pattern = X.TOK_SPIKE if spike else X.TOK_MARKOV
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = Q.with_states(rows, (view,), pattern)
-    got = got.select("doc_id", F.transform(F.split(view, ""), lambda c: ST.spelled(c)).alias("s"))
+    got = got.select("doc_id", F.transform(F.filter(F.split(view, ""), lambda c: c != ""), lambda c: ST.spelled(c)).alias("s"))
     want = rows.select("doc_id", F.expr(SPARK.each(SPARK.found("coalesce(text, '')", pattern), "t", getattr(ST, view)(SPARK, "t"))).alias("s"))
     none = ["NO_SEMANTIC_PATTERN"] if view == "semantic" else []
     clean = lambda df, empty: {r["doc_id"]: [x for x in r["s"] if x] or empty for r in df.collect()}
@@ -68,11 +75,85 @@ def test_defensive_split_moves_by_hash(spark) -> None:
     assert {r["count"] for r in count(0.25, 60)} == {2} and {r["count"] for r in count(0.9, 3)} == {3} and count(0.0, 3) == []
 
 
-@pytest.mark.parametrize(("sizes", "want"), [([10, 20], []), ([39], []), ([40], [(0, 0, 40, "paragraph")]), ([100, 100, 100], [(0, 1, 200, "paragraph_merge"), (2, 2, 100, "paragraph")]), ([10, 320, 50], [(0, 0, 10, "paragraph"), (1, 1, 320, "long_paragraph_split"), (2, 2, 50, "paragraph")]), ([700], [(0, 0, 320, "long_paragraph_split"), (0, 0, 320, "long_paragraph_split"), (0, 0, 60, "long_paragraph_split")]), ([170, 200], [(0, 0, 170, "paragraph"), (1, 1, 200, "paragraph")])])
+@pytest.mark.parametrize(
+    ("sizes", "want"),
+    [
+        ([10, 20], []), ([39], []), ([40], [(1, 1, 40, "paragraph")]), ([100, 100, 100], [(1, 2, 200, "paragraph_merge"), (3, 3, 100, "paragraph")]),
+        ([10, 320, 50], [(1, 1, 10, "paragraph"), (2, 2, 320, "long_paragraph_split"), (3, 3, 50, "paragraph")]),
+        ([700], [(1, 1, 320, "long_paragraph_split"), (1, 1, 320, "long_paragraph_split"), (1, 1, 60, "long_paragraph_split")]),
+        ([170, 200], [(1, 1, 170, "paragraph"), (2, 2, 200, "paragraph")]),
+    ],
+)
 def test_packing_rules(spark, sizes, want) -> None:
     text = "\n\n".join(" ".join(["w"] * n) for n in sizes)
     got = C.chunks(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("chunk_index").collect()
-    assert [(r["first_par"], r["last_par"], r["words"], r["kind"]) for r in got] == want
+    assert [(r["paragraph_start"], r["paragraph_end"], r["words"], r["kind"]) for r in got] == want
+
+
+def test_chunks_keep_sections_and_offsets(spark) -> None:
+    """Offsets point into the normalised text; a section's end closes a chunk; a text of headings alone is one document."""
+    w = lambda n, x: " ".join([x] * n)
+    text = f"\r\n  {w(60, 'a')}\u00a0\r\n\r\n{w(30, 'b')}\n2. Methods Of Study\n\n{w(50, 'c')}  \n \n{w(400, 'd  e')}\nDiscussion\n"
+    docs = spark.createDataFrame([(1, text), (2, "Introduction\nA. Results Here\n" * 20), (3, None), (4, w(39, "x"))], "doc_id int, text string")
+    whole = text.replace("\r\n", "\n").strip()
+    got = [r.asDict() for r in C.chunks(docs).orderBy("doc_id", "chunk_index").collect()]
+    one = [r for r in got if r["doc_id"] == 1]
+    assert [(r["heading"], r["words"], r["kind"], r["reliability"]) for r in one] == [
+        ("front matter", 90, "paragraph_merge", "high"), ("2. Methods Of Study", 50, "paragraph", "medium"), ("2. Methods Of Study", 320, "long_paragraph_split", "high"),
+        ("2. Methods Of Study", 320, "long_paragraph_split", "high"), ("2. Methods Of Study", 160, "long_paragraph_split", "high"),
+    ]
+    assert [whole[r["char_start"] : r["char_end"]] for r in one[1:]] == [r["text"] for r in one[1:]]
+    assert whole[one[0]["char_start"] : one[0]["char_end"]].split() == one[0]["text"].split() and one[0]["text"] == f"{w(60, 'a')}\n\n{w(30, 'b')}"
+    assert {r["heading"] for r in got if r["doc_id"] == 2} == {"document"} and not [r for r in got if r["doc_id"] > 2]
+
+
+def test_detector_with_trees(spark) -> None:
+    tree = {"left_children": [1, -1, -1], "right_children": [2, -1, -1], "default_left": [1, 0, 0], "split_indices": [0, 0, 0], "split_conditions": [0.5, -2.0, 2.0], "base_weights": [0.0, -2.0, 2.0]}
+    model = {"learner": {"learner_model_param": {"base_score": "[5E-1]"}, "gradient_booster": {"model": {"trees": [tree]}}}}
+    meta = {"vocab": ["lex::1=synergy"], "feature_importance": {"by_gain": [{"feature": "lex::1=synergy", "gain": 10.0}]}}
+    found = D.Model.read(json.dumps(model), json.dumps({"modelVersion": "m1", "trainer": "xgboost", "decisionPolicy": {"threshold": 0.6}}), json.dumps(meta))
+    got = {r["doc_id"]: r for r in D.score(spark.createDataFrame([(1, "synergy"), (2, "other words"), (3, None)], "doc_id int, text string"), found).collect()}
+    assert (got[1]["label"], got[1]["likelihood"], got[1]["model_id"], got[1]["available"]) == ("ai_generated", 88, "m1", True)
+    assert got[1]["top_features"][0]["feature"] == "lex::1=synergy" and got[1]["top_features"][0]["weight"] == 10.0 and got[1]["feature_count"] == 1
+    assert got[2]["label"] == got[3]["label"] == "human_written" and got[3]["top_features"] == [] and got[1]["classification"] == "not_enough_text"
+
+
+def test_detector_reports_mixed_texts(spark) -> None:
+    model = {"vocab": ["lex::1=synergy", "lex::1=handwritten"], "weights": [4.0, -4.0], "bias": 0.0, "means": [0.0, 0.0], "stds": [1.0, 1.0]}
+    found = D.Model.read(json.dumps(model), json.dumps({"decisionPolicy": {"threshold": 0.6}}), name="mixed")
+    text = "Introduction\n\n" + " ".join(["synergy"] * 200) + "\n\n2. Human Notes\n\n" + " ".join(["handwritten"] * 200)
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    row = D.score(docs, found).first()
+    assert row["classification"] == "mixed_ai_and_human" and row["mixed_authorship"]["contrast"] >= 25 and row["mixed_authorship"]["label_transitions"] == 1
+    assert [(c["label"], c["heading"]) for c in row["authorship_chunks"]] == [("ai_generated", "Introduction"), ("human_written", "2. Human Notes")]
+    none = D.score(docs, None).first()
+    assert (none["available"], none["label"], none["warnings"]) == (False, "unavailable", ["corporate_authorship_model_unavailable"])
+    broken = D.Model("b", "lexical_style", "lr", ["lex::1=a"], weights=[1.0, 2.0], means=[0.0], stds=[1.0])
+    assert D.score(docs, broken).first()["warnings"][0].startswith("corporate_authorship_model_failed")
+
+
+def test_methods(spark) -> None:
+    rows = spark.createDataFrame([(1, "The plan works. The plan")], "doc_id int, text string")
+    got = {r["feature"]: r["value"] for r in FE.build(rows, "lexical_style").collect()}
+    assert got["lex::1=the"] == 2 and got["lex::2=the|plan"] == 2 and got["style::words"] == 5
+    assert len(FE.METHODS) == 26 and FE.markov_views(["lex::1=a"], "x") == () and FE.markov_views(["markov::shape::order1::n"], "a_core_markov") == FE.CORE
+    assert FE.markov_views(["semantic::x"], "x", ["semantic"]) == ("semantic",) and FE.markov_views(["semantic::x"], "x") is None
+    for bad in (lambda: FE.build(rows, "nothing"), lambda: FE.build(rows, "markov_core"), lambda: FE.concept_sequences(rows, "nothing")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_each_contract_fixture_gives_its_code(spark) -> None:
+    rows = spark.createDataFrame(fixtures(), "name string, expected string, payload string")
+    got = CT.violations(rows).collect()
+    assert len(got) == 27 and all(r["error"] == r["expected"] for r in got)
+    odd = spark.createDataFrame([("no json",), (None,), ("[1]",)], "payload string")
+    assert {r["error"] for r in CT.violations(odd).collect()} == {"schema_error"}
+
+
+def test_positions_without_gathering(spark) -> None:
+    got = numbered(spark.range(1000, 0, -1).repartition(7), ["id"]).orderBy("id").collect()
+    assert [r["ordinal"] for r in got] == list(range(1000))
 
 
 def test_headings(spark) -> None:
