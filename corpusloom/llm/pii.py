@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, checks confirm them (part values, Luhn, mod 97, numbers of digits), and
 words just before a span adjust its score. The base kinds (email, ip, card, phone) are kept once confirmed,
-whatever their score; iban and national_id are added if their score reaches ``threshold``.
+whatever their score; iban, national_id, secret (hex digests that are called a token, key or password) and
+api_key (known prefixes and lengths) are added if their score reaches ``threshold``.
 
 Each kind's matches are leftmost and do not overlap. The patterns run in Java's engine in forms that find the
 same spans as the plain ones in time linear in the text: a run that cannot start a match is entered once.
@@ -11,7 +12,7 @@ their lengths, in code points, give every start. Each text is handled in its own
 
 Defined results. Null or empty text: no spans. Null doc_id and repeated rows: a row each. Spans of different
 kinds may overlap; ties in start go by the order of kinds. Very long texts are scanned whole. Further columns
-pass through ``find`` and ``redact`` unchanged. An empty table gives an empty result.
+pass through ``find`` and ``redact`` unchanged, but for one called as ``find``'s result, which gives way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import free_name
 
-KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
+KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "secret", "api_key")
 BASE = KINDS[:4]
 LOCAL = r"A-Za-z0-9._%+-"
 
@@ -33,6 +34,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9_])",
+    "api_key": r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9_])",
 }
 #: A cheap test that every text with a match passes.
 MAY = {
@@ -42,6 +45,8 @@ MAY = {
     "phone": lambda t: t.rlike(r"\+[0-9]"),
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"),
     "national_id": lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"),
+    "secret": lambda t: t.rlike(r"[0-9a-f]{32}"),
+    "api_key": lambda t: t.contains("AKIA") | t.rlike("gh[pousr]_") | t.contains("sk-"),
 }
 #: (score of a confirmed span, what a context word adds, context words).
 SCORES = {
@@ -51,6 +56,8 @@ SCORES = {
     "phone": (0.6, 0.3, r"phone|tel|call|mobile|fax|telefon|t[eé]l[eé]fono"),
     "iban": (0.8, 0.2, "iban|account|konto|cuenta|compte"),
     "national_id": (0.3, 0.5, r"ssn|social security|national id|tax id"),
+    "secret": (0.3, 0.5, "token|secret|password|passwd|key|auth|bearer"),
+    "api_key": (0.8, 0.1, "token|secret|key|auth"),
 }
 
 
@@ -81,6 +88,8 @@ CONFIRM = {
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
     "iban": mod97,
     "national_id": lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"),
+    "secret": lambda m: m.rlike("[0-9]") & m.rlike("[a-f]"),
+    "api_key": lambda m: F.lit(True),
 }
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"

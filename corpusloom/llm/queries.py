@@ -111,6 +111,8 @@ def _pii_sql() -> str:
         "phone": f"length({digits}) BETWEEN 10 AND 15",
         "iban": mod97,
         "national_id": rf"NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$') AND regexp_matches(lower(right(g, 40)), '(?:^|[^a-z])(?:{pii.SCORES['national_id'][2]})(?:[^a-z]|$)')",
+        "secret": rf"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-f]') AND regexp_matches(lower(right(g, 40)), '(?:^|[^a-z])(?:{pii.SCORES['secret'][2]})(?:[^a-z]|$)')",
+        "api_key": "true",
     }
     plain = {
         "email": rf"{local}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -119,6 +121,8 @@ def _pii_sql() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
         "national_id": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+        "secret": r"\b(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b",
+        "api_key": r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b",
     }
     kinds = []
     for rank, kind in enumerate(pii.KINDS):
