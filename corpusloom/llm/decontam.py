@@ -18,6 +18,8 @@ rows. Further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -68,14 +70,12 @@ def match(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = 5
     for b in range(blocks):  # a block of at most width x block words
         part = vocabulary if blocks == 1 else vocabulary.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b)
         seen.append(tokens.join(F.broadcast(part), "word").groupBy("word").count())
-    counts = seen[0]
-    for s in seen[1:]:
-        counts = counts.unionByName(s)
+    # a word is in one block, whose counts are as few as its words: they go to the windows, not the windows to them
+    spread = windows.select("win", "window", F.posexplode("window").alias("offset", "word"))
+    counted = reduce(DataFrame.unionByName, (spread.join(F.broadcast(s), "word") for s in seen))
 
     rarest = (
-        windows.select("win", "window", F.posexplode("window").alias("offset", "word"))
-        .join(counts, "word")
-        .groupBy("win")
+        counted.groupBy("win")
         .agg(F.min(F.struct("count", "word", "offset")).alias("r"), F.count("*").alias("found"), F.first("window").alias("window"))
         .filter(F.col("found") == F.size("window"))  # a window with a word the corpus lacks occurs nowhere
         .select(F.col("r.word").alias("word"), F.col("r.offset").alias("offset"), "window", "win")
