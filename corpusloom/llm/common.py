@@ -6,6 +6,7 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import atexit
+import gc
 import json
 import os
 import tempfile
@@ -48,6 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Bytes of one Arrow batch between Spark and Python, where the session has Spark's own default of 64 MB.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it sets their size itself.
+
+    A batch is held several times over on its way to a worker and back, outside the heap, so its size decides
+    how much memory an executor needs beside the heap.
+    """
+    if spark.conf.get(BATCH) == f"{64 << 20}b":
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 
@@ -56,6 +71,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        lean(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
@@ -66,6 +82,13 @@ class Scratch:
         df.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def free(self, *names: str) -> None:
+        """Drops these tables, and lets Spark's cleaner remove the shuffle files of finished queries, which it does when the driver collects its garbage."""
+        for name in names:
+            self.drop(name)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         try:
             jvm = self.spark.sparkContext._jvm

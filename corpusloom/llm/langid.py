@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpusloom.llm.common import free_name
+from corpusloom.llm.common import free_name, lean
 
 BUCKETS, ORDERS, PIECE = 1 << 15, 4, 1 << 20
 NONE = "und"
@@ -82,6 +82,7 @@ class Model:
 
 def fit(docs: DataFrame, per_lang: int = 200, landmarks: int = 24, ridge: float = 0.1, sample: int = 8000) -> Model | None:
     """``docs`` holds the rows that may be learned from: doc_id, text, lang."""
+    lean(docs.sparkSession)
     rows = docs.filter("doc_id is not null and lang is not null")
     most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 4)
     langs = {r["lang"]: r["n"] for r in most.collect()}
@@ -137,6 +138,7 @@ def fit(docs: DataFrame, per_lang: int = 200, landmarks: int = 24, ridge: float
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score"), batch_rows: int = 64) -> DataFrame:
     """``keep`` (or all) of the columns of ``docs``, and lang_pred and score (0 to 1), which replace columns of these names."""
     spark = docs.sparkSession
+    lean(spark)
     sent = spark.sparkContext.broadcast(model)
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in into]
     schema = docs.select(*kept).schema.add(into[0], "string").add(into[1], "double")

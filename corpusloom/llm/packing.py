@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import encoder
+from corpusloom.llm.common import encoder, lean
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, "word_bpe_49k.json"
 
@@ -115,6 +115,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
     from the id, the place in the document, the ids themselves and the input's partition, so that neither
     missing ids nor exact copies gather in one, and every attempt of a task draws the same.
     """
+    lean(docs.sparkSession)
     groups = max(1, docs.count() // group_docs)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
