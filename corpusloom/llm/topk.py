@@ -1,7 +1,9 @@
 """Operator 6, exact top-k by integer inner product: exhaustive term-at-a-time accumulation.
 
 Vectors become integers, floor(scale * x) with x as double. Queries go out in blocks of at most ``block``
-rows (a fixed number of bytes), and every block meets all candidates. A task takes its candidates in parts,
+rows and ``block_bytes`` bytes, one block after the other: a block is broadcast, meets all candidates, leaves its
+tasks' best in the shared folder, and is gone before the next. So neither the driver nor an executor ever holds
+more than a block, however many queries there are. A task takes its candidates in parts,
 makes posting lists of them (for each component, the rows where it is not zero and their weights), and for
 each component scatters its weighted postings into dense score arrays, one for each query whose component is
 not zero. Partition selection then leaves k candidates per query and part, parts are merged in the task, and
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from corpusloom.llm.common import Scratch
+
 PART = 2048
 
 
@@ -97,21 +101,21 @@ class Accumulator:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, k)[kept]), pa.array(self.vec.ravel()[kept]), pa.array(self.score.ravel()[kept])], ["query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block: int = 8192, block_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score. Queries: rows whose vec_id is divisible by ``every``; candidates: every other row."""
     spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     rows = integers(vectors, scale)
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-queries.count() // block))
+    queries = scratch.save(rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-n // max(1, min(block, block_bytes // (8 * max(width, 1))))))
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     found = None
-    for b in range(blocks):  # about `block` rows each
+    for b in range(blocks):
         part = queries.filter(spread == b).toArrow()
         ids = np.asarray(part.column("vec_id").combine_chunks(), dtype=np.int64)
-        lists = part.column("v").combine_chunks()
-        width = int(max(np.diff(np.asarray(lists.offsets)), default=0))
         order = np.argsort(ids)
-        sent = spark.sparkContext.broadcast((ids[order], _matrix(lists, width)[order]))
+        sent = spark.sparkContext.broadcast((ids[order], _matrix(part.column("v").combine_chunks(), width)[order]))
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent, width=width) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
@@ -127,7 +131,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, bl
                 if a.score.shape[1]:
                     yield a.result()
 
-        got = rows.mapInArrow(score, "query_id long, vec_id long, score long")
+        got = scratch.save(rows.mapInArrow(score, "query_id long, vec_id long, score long"), f"block-{b}")
+        sent.destroy()
         found = got if found is None else found.unionByName(got)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

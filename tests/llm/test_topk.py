@@ -33,6 +33,13 @@ def test_against_brute_force(spark) -> None:
     df = spark.createDataFrame(rows(), SCHEMA)
     assert sorted(map(tuple, topk.search(df.repartition(7)).collect())) == want
     assert sorted(map(tuple, topk.search(df.coalesce(1), block=3).collect())) == want
+    assert sorted(map(tuple, topk.search(df.repartition(2), block_bytes=100).collect())) == want  # two queries a block
+
+
+def test_wide_vectors(spark) -> None:
+    rng = np.random.default_rng(6)
+    wide = [(i, [float(x) for x in rng.normal(size=3000).round(2)], 0, None) for i in range(60)]
+    assert sorted(map(tuple, topk.search(spark.createDataFrame(wide, SCHEMA).repartition(3), block_bytes=30_000).collect())) == brute(wide)
 
 
 def test_few_and_none(spark) -> None:
