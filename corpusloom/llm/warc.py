@@ -1,17 +1,20 @@
 """Operator 3, WARC: archives with revisit records, written and read by Spark.
 
-Payload digests are computed row by row; only headers (digest, page_id) are grouped, with partial sums, so a
-payload that a third of all pages share costs one row per task. Pages then join the digests that occur more
-than once, a join whose hot side Spark's skew handling may split, and are written as archives: a revisit
-record has headers only, and names the original response.
+Payload digests are computed row by row; only headers (digest, page_id) are shuffled by digest and grouped, with
+partial sums, so a payload that a third of all pages share costs one row per task. Pages then join the digests
+that occur more than once, a side that has a row for each and is broadcast where it is small; where it isn't,
+Spark's skew handling splits the hot digest. They are written as archives: a revisit record has headers only,
+and names the original response.
 
 An archive is what Spark's text writer makes of one record per row with CR LF CR LF between records, which is
-the end of a record in the WARC format. Its committer gives whole files even if executors are lost. Archives
-hold at most ``records_per_file`` records, and are read whole, one record after the other by Content-Length.
+the end of a record in the WARC format. Its committer gives whole files even if executors are lost. A task's
+records go to volumes of about ``volume_bytes``, a folder each, so an archive holds at most that and one record
+more, and reading one takes that much memory; its records are read one after the other by Content-Length.
 
 Defined results. Null or empty html: a payload of no bytes. Null url: ``urn:none``. Null page_id: sorts last,
 so it is a response only if no page with an id has the payload. Rows that repeat a page_id and a payload are
-all responses. Payloads smaller than ``least_bytes`` are always responses. An empty table gives no records.
+all responses. Payloads smaller than ``least_bytes`` are always responses. A very long payload is whole in one
+record, beyond a volume's size in a volume of its own. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -21,10 +24,14 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import lean
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 
@@ -91,8 +98,19 @@ def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
     return resolved.select(F.concat(head, F.lit(2 * CRLF), block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 4000, compression: str = "gzip") -> None:
-    records(resolve(pages, least_bytes)).write.options(lineSep=2 * CRLF, compression=compression, maxRecordsPerFile=records_per_file).text(path)
+def write(pages: DataFrame, path: str, least_bytes: int = 0, volume_bytes: int = 32 << 20, compression: str = "gzip") -> None:
+    lean(pages.sparkSession)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = 0
+        for batch in batches:
+            ends = held + np.cumsum(np.asarray(pc.binary_length(batch.column(0))), dtype=np.int64)
+            begins = np.concatenate(([held], ends))[: len(ends)]
+            held = int(ends[-1]) if len(ends) else held
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((begins // volume_bytes).astype(np.int32))], ["value", "volume"])
+
+    dealt = records(resolve(pages, least_bytes)).mapInArrow(deal, "value string, volume int")
+    dealt.write.options(lineSep=2 * CRLF, compression=compression).partitionBy("volume").text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
@@ -140,5 +158,6 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    lean(spark)
+    files = spark.read.format("binaryFile").options(pathGlobFilter="part-*", recursiveFileLookup="true").load(path).select("content")
     return files.mapInArrow(rows, READ)

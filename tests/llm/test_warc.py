@@ -13,7 +13,7 @@ SCHEMA = "page_id long, url string, html string, payload string"
 
 def test_round_trip(spark) -> None:
     path = Scratch(spark, "t").path("w")
-    warc.write(spark.createDataFrame(ROWS, SCHEMA), path, records_per_file=2)
+    warc.write(spark.createDataFrame(ROWS, SCHEMA), path, volume_bytes=2000)
     got = warc.read(spark, path).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[4] or "")
     want = []
@@ -37,9 +37,18 @@ def test_threshold_and_nothing(spark) -> None:
     assert warc.read(spark, base.path("b")).count() == 0
 
 
+def test_archives_are_bounded_in_bytes(spark) -> None:
+    """Many pages in one task, one of them longer than a volume."""
+    path = Scratch(spark, "t").path("w")
+    rows = [(i, f"http://{i}", f"{i} " + "x" * (60_000 if i == 17 else 900), None) for i in range(120)]
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), path, volume_bytes=20_000)
+    sizes = [len(gzip.decompress(bytes(r["content"]))) for r in spark.read.format("binaryFile").options(pathGlobFilter="part-*", recursiveFileLookup="true").load(path).collect()]
+    assert len(sizes) > 5 and sorted(sizes)[-2] < 25_000 and warc.read(spark, path, payload=False).count() == 120
+
+
 def test_records_are_plain_warc(spark) -> None:
     path = Scratch(spark, "t").path("w")
     warc.write(spark.createDataFrame(ROWS[:2], SCHEMA).coalesce(1), path)
-    for row in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
+    for row in spark.read.format("binaryFile").options(pathGlobFilter="part-*", recursiveFileLookup="true").load(path).collect():
         data = gzip.decompress(bytes(row["content"]))
         assert not data or data.startswith(b"WARC/1.1\r\nWARC-Type: ") and data.endswith(b"\r\n\r\n")
