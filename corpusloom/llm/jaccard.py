@@ -12,8 +12,10 @@ one order of all shingles by rarity, the first L shared ones lie in both sets be
    task ever holds more of it.
 2. A range merges its postings into lists, built once. In the last round the lists' occurrences of each pair
    are counted, within a range and then over all ranges; a pair stays only if the short lists alone hold L
-   shared shingles, L from 1 to ``OCCURRENCES`` by the two sizes. Bitmaps (exact upper bounds of the overlap)
-   drop more. For the rest ``divide_skip`` merges the short lists of a local index on a heap that skips,
+   shared shingles, L from 1 to ``OCCURRENCES`` by the two sizes. More occurrences leave fewer pairs but ask
+   longer lists: on documents with a common passage 3 left 1,833 pairs of 287,110 that met, 1 leaves 2,502 of
+   6,997, so 1 it is, and all other required occurrences are set aside. Bitmaps (exact upper bounds of the
+   overlap) drop more. For the rest ``divide_skip`` merges the short lists of a local index on a heap that skips,
    probes the long ones by binary search, and decides by the exact overlap.
 3. Pairs are proposed in rounds, so that a group of copies is never expanded into all pairs: first each list's
    smallest document with the others; then, in longer lists whose documents are not yet in one component, a
@@ -49,7 +51,7 @@ SKETCH_BITS, SEGMENTS = 22, 64
 #: Members of a longer list's largest component that meet the documents outside it, in the second round.
 LONG, PIVOTS = 16, 8
 #: Documents of one list in one task; shared shingles asked of the short lists in the last round; pairs in one batch.
-TILE, OCCURRENCES, BATCH = 8192, 3, 1 << 21
+TILE, OCCURRENCES, BATCH = 8192, 1, 1 << 21
 
 
 def shingle_sets(block: Block, length: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -517,10 +519,12 @@ def join(docs: DataFrame, block_bytes: int = 4 << 20, tile: int = TILE) -> DataF
     classes = scratch.save(classes.select("f1", "f2", "n", F.col("r.doc_id").alias("rep"), F.col("r.block").alias("block"), F.col("r.place").alias("place")), "classes")
     posted = texts.groupBy("block").cogroup(classes.select("block", "place").groupBy("block")).applyInArrow(_post(parts, order, tile), POSTED)
     lists = scratch.save(posted.groupBy("part").applyInArrow(_merge_lists, LISTED), "lists")
+    scratch.free()
     tiled = bool(lists.filter("tiles > 1").head(1))
 
     partners = lists.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id"), "block", "place"), "doc_id")
     vectors = scratch.save(texts.groupBy("block").cogroup(partners.select("block", "place").groupBy("block")).applyInArrow(_vectors, VECTOR), "vectors", compression="none")
+    scratch.free("blocks")
 
     links, labels = None, None
     for name in ("first", "pivots", "rest"):
@@ -529,6 +533,7 @@ def join(docs: DataFrame, block_bytes: int = 4 << 20, tile: int = TILE) -> DataF
         if not pairs.head(1):
             continue
         new = verify(pairs, vectors, scratch, name)
+        scratch.free(f"{name}-pairs", f"{name}-likely")
         if not new.head(1):
             continue
         links = new if links is None else links.union(new)
