@@ -36,11 +36,11 @@ def test_digest(spark) -> None:
 
 
 def test_typed_parts(spark) -> None:
-    parts = [("text", "see <|", None, None), ("image", None, "s3://a", 300), ("audio", None, "b", None), (None, "end", None, None)]
+    parts = [("text", "see <|", None, None), ("image", None, "s3://a", 300), ("audio", None, "b", None), ("document", None, None, None), (None, "end", None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts)], "conv_id long, turn long, role string, parts array<struct<type:string,text:string,uri:string,tokens:long>>")
     row = chat.format_turns(df).first()
-    assert row["formatted"] == "### user: see <\\|<|image:0|><|audio:1|>end</turn>\n"
-    assert [tuple(a) for a in row["attachments"]] == [("image", "s3://a", 300), ("audio", "b", 128)]
-    assert chat.conversations(chat.format_turns(df)).first()["expanded_tokens"] == 428
+    assert row["formatted"] == "### user: see <\\|<|image:0|><|audio:1|><|document:2|>end</turn>\n"
+    assert [tuple(a) for a in row["attachments"]] == [("image", "s3://a", 300), ("audio", "b", 128), ("document", "", 512)]
+    assert chat.conversations(chat.format_turns(df)).first()["expanded_tokens"] == 940
     with pytest.raises(ValueError):
         chat.turn("user", [{"type": "video"}])
