@@ -14,6 +14,7 @@ from corpusloom.operators import models as MO
 from corpusloom.operators import sequences as Q
 from corpusloom.plans.sequences import docs, repr_, seq_sql, zipped
 from corpusloom.queries import query
+from corpusloom.session import written
 from corpusloom.sources.tables import table
 
 CORE = ("shape", "posish", "true_pos")
@@ -117,7 +118,7 @@ FROM {_FEAT} JOIN {_VOCAB} USING (feature), (SELECT count(*) AS n FROM documents
 
 @query(f"SELECT feature, df, round(mean, 6) AS mean, round(std, 6) AS std FROM {_MOMENTS}")
 def feature_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
+    f = written(features(spark, sf_dir), "features")  # read twice
     got = MO.moments(f, MO.vocabulary(f, 300, 3), docs(spark, sf_dir).select("doc_id"))
     return got.select("feature", "df", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
@@ -130,7 +131,7 @@ FROM documents d LEFT JOIN (SELECT doc_id, sum(value / std * w) AS delta, count(
 
 
 def _linear(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f = features(spark, sf_dir)
+    f = written(features(spark, sf_dir), "features")  # read for the vocabulary, the moments and the scores
     m = MO.moments(f, MO.vocabulary(f, 300, 3), docs(spark, sf_dir).select("doc_id"))
     weights = m.withColumn("w", (F.length("feature") % 7 - 3) * F.lit(0.05))
     return MO.linear_scores(docs(spark, sf_dir).select("doc_id"), f, weights, 0.1), f, weights

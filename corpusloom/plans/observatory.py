@@ -12,7 +12,7 @@ from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.operators import sequences as Q
 from corpusloom.operators import statistics as ST
 from corpusloom.plans.models import _PRED, predictions
-from corpusloom.plans.sequences import repr_
+from corpusloom.plans.sequences import docs, repr_
 from corpusloom.queries import query
 from corpusloom.session import written
 from corpusloom.sources.tables import table
@@ -180,7 +180,7 @@ WITH u AS {_TERMS}, p AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS p F
 SELECT source, round(0.5 * sum(p * log2(p / ((p + q) / 2))) + 0.5 * sum(q * log2(q / ((p + q) / 2))) + 0.5 * (1 - sum(q)), 6) AS jsd FROM p JOIN q USING (term) GROUP BY 1""")
 def s3_jsd_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's word distribution against that of all."""
-    words = Q.exploded(table(spark, sf_dir, "documents"), ("source",), F.split(Q.words(), "\n"), "term").filter("term <> ''")
+    words = Q.exploded(docs(spark, sf_dir), ("source",), F.split(Q.words(), "\n"), "term").filter("term <> ''")
     u = words.groupBy("source", "term").agg(F.count("*").cast("double").alias("n"))
     return ST.jsd(u.withColumn("all", F.lit(1)), "source", "term", ["all"]).select("source", F.round("jsd", 6).alias("jsd"))
 

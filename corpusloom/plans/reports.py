@@ -17,6 +17,7 @@ from corpusloom.plans.models import _FEAT, _MOMENTS, _PRED, _SWEEP, _WEIGHTS, _l
 from corpusloom.plans.observatory import _CELL, _CELLS, _ORD, _PI, _orders, _weights
 from corpusloom.plans.sequences import seq_sql
 from corpusloom.queries import query
+from corpusloom.session import written
 from corpusloom.sources.tables import table
 
 
@@ -58,7 +59,7 @@ WITH m AS (SELECT *, row_number() OVER (ORDER BY df DESC, feature) - 1 AS place
 SELECT doc_id, active, first_place, round(s, 4) AS absolute FROM z""")
 def standardised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features by their place in the vocabulary and their stored standardisation, summed up per document."""
-    f = features(spark, sf_dir)
+    f = written(features(spark, sf_dir), "features")
     m = MO.moments(f, MO.vocabulary(f, 300, 3), docs(spark, sf_dir).select("doc_id"))
     top = m.agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("df"), "feature", "mean", "std"))).alias("v"))  # 300 features
     placed = top.select(F.posexplode("v").alias("place", "r")).select("place", "r.feature", "r.mean", "r.std")

@@ -11,7 +11,7 @@ from corpusloom.functions.dialect import DUCK
 from corpusloom.operators import sampling as S
 from corpusloom.plans.text import V, hashed, marked, validated
 from corpusloom.queries import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 L = f"""(SELECT d.doc_id, d.lang, d.source, d.text, {T.text_hash(DUCK, 'd.text')} AS text_hash, l.quality::INT AS label
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
@@ -21,7 +21,7 @@ B = T.bucket(DUCK, "text_hash")
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a class; the labels' side is read with the two columns it gives."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
     return hashed(docs.join(labels, "doc_id"))
 
 

@@ -11,11 +11,11 @@ from corpusloom.functions import states as ST
 from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.operators import sequences as Q
 from corpusloom.queries import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
 
 
 TOK = f"(SELECT doc_id, lang, source, {DUCK.found(repr_ := "coalesce(text, '')", X.TOK_MARKOV)} AS tokens FROM documents)"

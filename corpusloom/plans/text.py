@@ -11,13 +11,13 @@ from corpusloom.functions import lexicon as X
 from corpusloom.functions import text as T
 from corpusloom.functions.dialect import DUCK, SPARK, Dialect, listed
 from corpusloom.queries import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 LEAST, MOST = 80, 900
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source"), "doc_id")
 
 
 D = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"

@@ -13,6 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of input a core below which a table is dealt out anew.
+SPREAD = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table too small to keep all cores busy, dealt out to them by its key; any other as it is.
+
+    A small file is often one row group, which one task reads and then works on alone. Beyond ``SPREAD`` bytes a
+    core the scan's own splits do, and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * SPREAD else df
+
+
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType | str, lenient: bool = False, source_types: tuple[str, ...] = ()) -> DataFrame:
     """JSON lines, blank lines skipped. Lenient: lines that are no objects are dropped. A filter on source_type reaches the parser."""
     got = spark.read.schema(schema).json(paths, mode="DROPMALFORMED" if lenient else "FAILFAST")
