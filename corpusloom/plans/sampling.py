@@ -21,7 +21,7 @@ B = T.bucket(DUCK, "text_hash")
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a class; the labels' side is read with the two columns it gives."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return hashed(docs.join(labels, "doc_id"))
 
 

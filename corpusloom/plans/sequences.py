@@ -15,7 +15,7 @@ from corpusloom.sources.tables import spread, table
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 TOK = f"(SELECT doc_id, lang, source, {DUCK.found(repr_ := "coalesce(text, '')", X.TOK_MARKOV)} AS tokens FROM documents)"

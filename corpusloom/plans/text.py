@@ -17,7 +17,7 @@ LEAST, MOST = 80, 900
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source"), "doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source"))
 
 
 D = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"

@@ -17,15 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SPREAD = 32 << 20
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table too small to keep all cores busy, dealt out to them by its key; any other as it is.
+def spread(df: DataFrame) -> DataFrame:
+    """A table too small to keep all cores busy, dealt out to them in turn; any other as it is.
 
     A small file is often one row group, which one task reads and then works on alone. Beyond ``SPREAD`` bytes a
-    core the scan's own splits do, and nothing is moved.
+    core the scan's own splits do, and nothing is moved. Rows are not dealt by a key: a union of tables dealt by
+    one claims to be so itself, and a later grouping by it would miss what lies in other parts.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * SPREAD else df
+    return df.repartition(cores) if size < cores * SPREAD else df
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType | str, lenient: bool = False, source_types: tuple[str, ...] = ()) -> DataFrame:
