@@ -94,13 +94,14 @@ def blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        codec = pa.Codec("zstd", compression_level=6)  # blocks are shuffled more than once
 
         def flush() -> pa.RecordBatch:
             data = b"".join(t + b" " for t in texts)
             row = {
                 "block": task << 32 | n, "raw_bytes": len(data), "doc_ids": np.array([i or 0 for i in ids], dtype=np.int64).tobytes(),
                 "has_id": np.array([i is not None for i in ids], dtype=np.uint8).tobytes(), "sizes": np.array([len(t) + 1 for t in texts], dtype=np.int64).tobytes(),
-                "data": pa.compress(data, codec="zstd", asbytes=True),
+                "data": codec.compress(data, asbytes=True),
             }
             kinds = {"block": pa.int64(), "raw_bytes": pa.int64()}
             return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], list(row))
