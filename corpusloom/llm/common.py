@@ -130,7 +130,7 @@ class TextEncoder:
     #: What a cache entry takes besides its characters and ids: two objects' heads and a slot of the table.
     ENTRY_BYTES = 220
 
-    def __init__(self, vocabulary: str, cache_bytes: int = 64 << 20, part_bytes: int = 2 << 20) -> None:
+    def __init__(self, vocabulary: str, cache_bytes: int = 128 << 20, part_bytes: int = 4 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
