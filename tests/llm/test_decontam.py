@@ -47,3 +47,13 @@ def test_nothing(spark) -> None:
     docs, none = spark.createDataFrame(documents(), DOC_SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert decontam.digest(decontam.decontaminate(docs, none)).filter("contaminated").count() == 0
     assert decontam.decontaminate(spark.createDataFrame([], DOC_SCHEMA), none).count() == 0
+
+
+def test_words_are_cut_once_and_as_the_contract_says(spark) -> None:
+    texts = ["".join(map(chr, range(1, 0x250))), "A1-b\x7fc\x80d É ſK 日本𝒜 \U0010ffff_x", None, "", "..", "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = docs.select("doc_id", decontam.words(docs.text).alias("w"))
+    assert [r.w for r in cut.orderBy("doc_id").collect()] == [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    each = decontam.each_word(cut)
+    assert sorted(r.word for r in each.collect()) == sorted(w for t in texts for w in WORD.findall((t or "").translate(LOWER)))
+    assert each._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
