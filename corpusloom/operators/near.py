@@ -1,4 +1,8 @@
-"""Near duplicates of whole texts: an exact similarity join of their sets of word shingles."""
+"""Near duplicates of whole texts: an exact similarity join of their sets of word shingles.
+
+Which documents are linked at all, and into which groups, is found by the join of ``corpusloom.llm.jaccard``, which keeps
+no shingles; the links themselves are then looked for among these documents only.
+"""
 
 from __future__ import annotations
 
@@ -20,14 +24,31 @@ def shingles(words: str, length: int) -> Column:
     return F.sort_array(F.array_distinct(F.when(n >= length, full).when(n > 0, F.array(F.xxhash64(F.lit("short"), words))).otherwise(F.array().cast("array<bigint>"))))
 
 
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links of ``near_links`` reach, for every row of ``docs`` (doc_id, text).
+
+    The join lower-cases A-Z only, so it is given texts that are in lower case already; its words and its threshold are those of here.
+    """
+    from corpusloom.llm import jaccard  # optional to all the rest
+
+    return jaccard.join(docs.select("doc_id", F.lower("text").alias("text"))).select("doc_id", "component_id")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """id and component of the documents that have a link: those outside their component's smallest, and these smallest."""
+    away = written(near_groups(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("id"), F.col("component_id").alias("component")).distinct(), "groups")
+    return away.union(away.select(F.col("component").alias("id"), "component").distinct())
+
+
 def near_links(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
     """a < b and jaccard: links between documents (doc_id, text) whose sets have a Jaccard similarity of ``percent`` or more.
 
     Documents with equal sets are a class. Each links to its class's smallest doc_id, and the smallest of any two classes that
     are similar link to each other, so that copies cost a row each and every other pair follows from these. Prefix filtering, in order of rarity,
     finds the candidates; all of both sets decides. Texts without words link with nothing; repeated ids are one document.
+    Documents without a link (``linked``) are left out before any set is made.
     """
-    split = docs.filter("doc_id is not null and text is not null").select("doc_id", F.transform(F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("w"))
+    split = docs.join(linked(docs).select(F.col("id").alias("doc_id")), "doc_id", "left_semi").filter("doc_id is not null and text is not null").select("doc_id", F.transform(F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("w"))
     every = written(split.select("doc_id", shingles("w", length).alias("s")).select("doc_id", F.size("s").alias("n"), F.xxhash64("s").alias("c"), "s"), "shingles").filter("n > 0")
     classes = every.groupBy("c").agg(F.min("doc_id").alias("rep"))
     copies = every.select("doc_id", "c").join(classes, "c").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))

@@ -8,8 +8,7 @@ from pyspark.sql.window import Window as W
 
 from corpusloom.functions import text as T
 from corpusloom.functions.dialect import DUCK
-from corpusloom.operators.graphs import components
-from corpusloom.operators.near import near_links
+from corpusloom.operators.near import linked, near_links
 from corpusloom.plans.text import hashed
 from corpusloom.queries import query
 from corpusloom.sources.tables import table
@@ -99,7 +98,7 @@ r AS (SELECT x AS id, x AS o FROM u UNION SELECT r.id, u.y FROM r JOIN u ON u.x
 SELECT id, min(o) AS component FROM r GROUP BY 1""")
 def connected_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitive groups of near duplicates, over the links of ``near_dups_jaccard``: whole texts of any length."""
-    return components(near_links(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("""
