@@ -9,8 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.dialect import DUCK, SPARK
 from corpusloom.operators import models as MO
 from corpusloom.operators import statistics as ST
-from corpusloom.operators.graphs import components
-from corpusloom.operators.near import near_links
+from corpusloom.operators.near import near_groups
 from corpusloom.plans.documents import _CALIBRATION, calibration_chunks
 from corpusloom.plans.joins import _LINKS
 from corpusloom.plans.models import _FEAT, _MOMENTS, _PRED, _SWEEP, _WEIGHTS, _linear, docs, features, labels, predictions
@@ -157,9 +156,8 @@ s AS (SELECT doc_id, coalesce(component, doc_id) AS grp FROM documents LEFT JOIN
 SELECT doc_id, grp AS grp, {_SPLIT} AS split FROM h""")
 def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates go to one of three splits, by a hash of the group: no group is in two."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    g = components(near_links(d)).select(F.col("id").alias("doc_id"), "component")
-    s = d.select("doc_id").join(g, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("grp")).withColumn("k", F.sha2(F.col("grp").cast("string"), 256))
+    g = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    s = g.select("doc_id", F.col("component_id").alias("grp")).withColumn("k", F.sha2(F.col("grp").cast("string"), 256))
     return s.withColumn("h", F.expr(T.bucket(SPARK, "k"))).select("doc_id", "grp", F.expr(_SPLIT).alias("split"))
 
 
