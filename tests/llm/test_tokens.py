@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import glob
 import json
+import sys
 import zlib
 
 import numpy as np
@@ -46,6 +47,17 @@ def test_other_vocabularies_encode_whole_texts(tmp_path) -> None:
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_the_cache_stays_small() -> None:
+    """600,000 distinct chunks, far more than one run of texts holds as a rule: both generations below 70 MB."""
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(letters[k // 20**i % 20] for i in range(5)) for k in range(600_000)]
+    encode = TextEncoder(NAME)
+    for _, flat, _ in encode.encode(pa.array([" ".join(words)])):
+        assert len(flat) >= len(words)
+    held = sum(sys.getsizeof(d) + sum(sys.getsizeof(c) + sys.getsizeof(i) for c, i in d.items()) for d in (encode.young, encode.old))
+    assert len(encode.young) + len(encode.old) > 50_000 and held < 70e6, held
+
+
 def test_layout_of_the_token_files(spark, tmp_path) -> None:
     """Ids in dictionary pages, integers delta-encoded, indexes for both, more than one row group of a few rows."""
     rows = [(k, prose(k, 300)) for k in range(400)]
