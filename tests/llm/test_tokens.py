@@ -48,14 +48,14 @@ def test_other_vocabularies_encode_whole_texts(tmp_path) -> None:
 
 
 def test_the_cache_stays_small() -> None:
-    """600,000 distinct chunks, far more than one run of texts holds as a rule: both generations below 70 MB."""
+    """600,000 distinct chunks, far more than one run of texts holds as a rule: both generations below 50 MB."""
     letters = "abcdefghijklmnopqrst"
     words = ["".join(letters[k // 20**i % 20] for i in range(5)) for k in range(600_000)]
     encode = TextEncoder(NAME)
     for _, flat, _ in encode.encode(pa.array([" ".join(words)])):
         assert len(flat) >= len(words)
     held = sum(sys.getsizeof(d) + sum(sys.getsizeof(c) + sys.getsizeof(i) for c, i in d.items()) for d in (encode.young, encode.old))
-    assert len(encode.young) + len(encode.old) > 50_000 and held < 70e6, held
+    assert len(encode.young) + len(encode.old) > 50_000 and held < 50e6, held
 
 
 def test_layout_of_the_token_files(spark, tmp_path) -> None:
